@@ -4,17 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parchwork.llm import tokencount
+from parchwork.llm import langid, secrets, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(_table(spark, sf_dir, "documents"), secrets.learn(secrets.labelled_credentials()))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_token_counts,)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out")
+    )
+    model = langid.train(docs.where(~F.col("held_out")))
+    return langid.identify(docs, model, keep=["held_out"])
+
+
+QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}
