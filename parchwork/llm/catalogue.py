@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import langid, secrets, tokencount
+from parchwork.llm import langid, packing, secrets, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.digests(packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), secrets.learn(secrets.labelled_credentials()))
 
@@ -29,5 +34,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op3_secret_scan, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secret_scan, op8_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}
