@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import langid, packing, secrets, tokencount
+from parchwork.llm import langid, mixing, packing, secrets, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"), secrets.learn(secrets.labelled_credentials()))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -34,5 +38,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_secret_scan, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_secret_scan, op4_mixing, op8_token_counts, op10_language_id)}
 ORACLES: dict[str, str] = {}
