@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import langid, minhash, mixing, packing, secrets, tokencount
+from parchwork.llm import hyperplane, langid, minhash, mixing, packing, secrets, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_near_duplicate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperplane.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out")
@@ -42,5 +46,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op8_token_counts, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
 ORACLES: dict[str, str] = {}
