@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import hyperplane, langid, minhash, mixing, packing, secrets, tokencount
+from parchwork.llm import hyperplane, langid, minhash, mixing, multiindex, packing, secrets, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,5 +50,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op6_nearest_vectors, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
 ORACLES: dict[str, str] = {}
