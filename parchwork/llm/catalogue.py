@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import hyperplane, langid, minhash, mixing, multiindex, packing, secrets, tokencount, urls
+from parchwork.llm import hyperplane, langid, licences, minhash, mixing, multiindex, packing, secrets, tokencount, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiindex.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"), licences.train())
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -103,5 +107,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model, keep=["held_out"])
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op5_url_filters, op6_nearest_vectors, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
-ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op5_url_filters, op6_nearest_vectors, op7_licence_scan, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
+ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_licence_scan": licences.sql(licences.train())}
