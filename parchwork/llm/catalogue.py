@@ -108,4 +108,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op5_url_filters, op6_nearest_vectors, op7_licence_scan, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}
-ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op7_licence_scan": licences.sql(licences.train())}
+
+
+def oracles() -> dict[str, str]:
+    return {"op5_url_filters": OP5_SQL, "op7_licence_scan": licences.sql(licences.train())}

@@ -226,21 +226,21 @@ def train(
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """One row per input row: id, the columns ``keep``, lang_pred and score.
+    """One row per input row: id, the columns ``keep`` (but those called as the next two), lang_pred and score.
 
     ``und`` with score 0 where the text is null or has no letter. Null and
     repeated ids are kept; other columns are ignored; an empty table gives an
     empty result; texts of any length are read whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = list(dict.fromkeys([id_col, *keep]))
+    kept = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)
-                got = labels(own, part.column("_text").to_pylist())
+                got = labels(own, part.column("_text_").to_pylist())
                 own.forget()
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in kept), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
@@ -248,4 +248,4 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.col(text_col).alias("_text")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*kept, F.col(text_col).alias("_text_")).mapInArrow(run, f"{kinds}, lang_pred string, score double")

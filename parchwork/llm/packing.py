@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from parchwork.llm.prefix import running_total
 from parchwork.llm.scratch import stash
-from parchwork.llm.tokens import Encoder, shared
+from parchwork.llm.tokens import Encoder, packed, shared
 
 #: Cells of the hashed vector, dimensions of the projection, bits of each.
 HASHED, DIMS, BITS = 256, 3, 10
 _GROUP = 128
-_CAPACITY = 400_000
+_CAPACITY = 1_200_000
 _UINT = np.dtype("<u4")
 
 
@@ -82,9 +82,8 @@ def encoded(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pack = lambda ids: np.array(ids, _UINT).tobytes()
-        encoder = shared((tokenizer, "ids"), lambda: Encoder(tokenizer, pack, _CAPACITY))
-        projection, end = Projection(), pack([end_id])
+        encoder = shared((tokenizer, "ids"), lambda: Encoder(tokenizer, packed, _CAPACITY))
+        projection, end = Projection(), packed([end_id])
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)

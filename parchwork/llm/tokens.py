@@ -12,6 +12,9 @@ from __future__ import annotations
 
 import json
 import re
+import struct
+import sys
+from array import array
 from collections.abc import Callable, Iterable
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -96,24 +99,31 @@ class Encoder:
                 out.append(None)
         if missing:
             fresh = list(missing)
-            value = self.value
-            for at in range(0, len(fresh), 4096):
-                some = fresh[at : at + 4096]
-                self.cache.update(zip(some, map(value, self.ids(some))))
-            get = self.cache.__getitem__
-            for k, parts in late:
-                out[k] = list(map(get, parts))
-            if len(self.cache) > self.capacity:
-                self.cache = dict(self.table)
+            new = dict(zip(fresh, map(self.value, self.ids(fresh))))
+            full = len(self.cache) + len(new) > self.capacity
+            if full:  # what came first includes what is frequent, so it stays
+                known = self.cache
+                for k, parts in late:
+                    out[k] = [new[p] if v is None else v for p, v in zip(parts, map(known.get, parts))]
+            else:
+                self.cache.update(new)
+                get = self.cache.__getitem__
+                for k, parts in late:
+                    out[k] = list(map(get, parts))
         for k, text in whole:
             out[k] = [self.value(self.ids([text])[0])]
         return out
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit numbers."""
+    return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else struct.pack(f"<{len(ids)}I", *ids)
+
+
 _encoders: dict = {}
 
 
-def shared(key: tuple, make: Callable[[], Encoder]) -> Encoder:
+def shared(key: tuple, make: Callable):
     """One encoder for each key in this Python worker."""
     if key not in _encoders:
         _encoders[key] = make()
