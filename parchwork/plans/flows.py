@@ -30,7 +30,7 @@ def _staged(stage: str, error: Column) -> Column:
 
 
 def strip_bytes(raw: DataFrame) -> DataFrame:
-    """raw (with content and error) and its text, empty and error after decoding and cleaning.
+    """path, bytes, codec, seconds (of reading, where raw has them), text, empty and error of raw (path, content, error).
 
     The first stage that fails names itself in the error; a document with an
     error has no text.
@@ -43,7 +43,7 @@ def strip_bytes(raw: DataFrame) -> DataFrame:
     text = F.when(error.isNull(), F.col("cleaned.text"))
     return cleaned.select(
         "path", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long").alias("bytes"), F.col("decoded.codec").alias("codec"),
-        text.alias("text"), (error.isNull() & cleaning.is_empty(F.col("cleaned.text"))).alias("empty"), error.alias("error"),
+        *(["seconds"] if "seconds" in raw.columns else []), text.alias("text"), (error.isNull() & cleaning.is_empty(F.col("cleaned.text"))).alias("empty"), error.alias("error"),
     )
 
 
