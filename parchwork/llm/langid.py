@@ -137,7 +137,8 @@ def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     found = list(_WORD.finditer(text or ""))
     if not found:
         return []
-    path = viterbi(model.table[model.index([m[0].lower() for m in found])], model.penalty)
+    at = model.index([m[0].lower() for m in found])
+    path = viterbi(model.table[at], model.penalty)
     out: list[tuple[int, int, str]] = []
     for m, k in zip(found, path):
         if out and out[-1][2] == model.langs[k]:
@@ -198,7 +199,7 @@ def train(
                 if lang not in counts:
                     counts[lang] = np.zeros(FEATURES + len(_SCRIPTS) + 1, np.int64)
                 at: list[int] = []
-                for word in _WORD.findall(text.lower()):
+                for word in set(_WORD.findall(text.lower())):  # once a document, so that no repetitive one outweighs the rest
                     if (c := known.get(word)) is None:
                         name = script(word[0])
                         c = known[word] = [*cells(word), FEATURES + (_SCRIPTS.index(name) if name in _SCRIPTS else len(_SCRIPTS))]
