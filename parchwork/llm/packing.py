@@ -9,6 +9,7 @@ last sequence is padded.
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Iterator
 
@@ -67,14 +68,13 @@ class Projection:
         self.matrix = rng.normal(size=(HASHED, DIMS))
 
     def keys(self, ids: list[np.ndarray]) -> np.ndarray:
-        points = np.empty((len(ids), DIMS))
-        for k, own in enumerate(ids):
-            mixed = own.astype(np.uint32) * np.uint32(2654435761)
-            at, sign = mixed >> np.uint32(24), ((mixed >> np.uint32(23)) & np.uint32(1)).astype(np.float64) * 2 - 1
-            hashed = np.bincount(at, weights=sign, minlength=HASHED)
-            points[k] = hashed @ self.matrix / max(np.sqrt(hashed @ hashed), 1e-12)
-        cells = np.clip((points + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1)
-        return hilbert(cells, BITS)
+        """Curve positions of documents that each have an id at least."""
+        mixed = np.concatenate(ids).astype(np.uint32) * np.uint32(2654435761)
+        sign = np.where(mixed & np.uint32(1 << 23), 1.0, -1.0)
+        owner = np.repeat(np.arange(len(ids)) * HASHED, [len(x) for x in ids])
+        hashed = np.bincount(owner + (mixed >> np.uint32(24)), weights=sign, minlength=len(ids) * HASHED).reshape(-1, HASHED)
+        points = hashed @ self.matrix / np.maximum(np.linalg.norm(hashed, axis=1, keepdims=True), 1e-12)
+        return hilbert(np.clip((points + 3) / 6 * (1 << BITS), 0, (1 << BITS) - 1), BITS)
 
 
 def encoded(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_id: int) -> DataFrame:
@@ -84,15 +84,19 @@ def encoded(docs: DataFrame, tokenizer: str, *, id_col: str, text_col: str, end_
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder = shared((tokenizer, "ids"), lambda: Encoder(tokenizer, packed, _CAPACITY))
         projection, end = Projection(), packed([end_id])
-        for batch in batches:
-            for at in range(0, batch.num_rows, _GROUP):
-                part = batch.slice(at, _GROUP)
-                blobs = [b"".join(x) + end for x in encoder.values(part.column("text").to_pylist())]
-                keys = projection.keys([np.frombuffer(b, _UINT) for b in blobs])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), pa.array(keys, pa.int64()), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
-                    ["row", "id", "key", "n", "ids"],
-                )
+        gc.disable()  # nothing below makes cycles, and the cache is large to go through
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, _GROUP):
+                    part = batch.slice(at, _GROUP)
+                    blobs = [b"".join(x) + end for x in encoder.values(part.column("text").to_pylist())]
+                    keys = projection.keys([np.frombuffer(b, _UINT) for b in blobs])
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("row"), part.column("id"), pa.array(keys, pa.int64()), pa.array([len(b) // 4 for b in blobs], pa.int64()), pa.array(blobs, pa.binary())],
+                        ["row", "id", "key", "n", "ids"],
+                    )
+        finally:
+            gc.enable()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()

@@ -100,16 +100,10 @@ class Encoder:
         if missing:
             fresh = list(missing)
             new = dict(zip(fresh, map(self.value, self.ids(fresh))))
-            full = len(self.cache) + len(new) > self.capacity
-            if full:  # what came first includes what is frequent, so it stays
-                known = self.cache
-                for k, parts in late:
-                    out[k] = [new[p] if v is None else v for p, v in zip(parts, map(known.get, parts))]
-            else:
+            for k, parts in late:
+                out[k] = [new[p] if v is None else v for p, v in zip(parts, out[k])]
+            if len(self.cache) + len(new) <= self.capacity:  # what came first includes what is frequent, so it stays
                 self.cache.update(new)
-                get = self.cache.__getitem__
-                for k, parts in late:
-                    out[k] = list(map(get, parts))
         for k, text in whole:
             out[k] = [self.value(self.ids([text])[0])]
         return out
