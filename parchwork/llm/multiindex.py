@@ -123,7 +123,8 @@ def search(
 
     query_id, rank (from 1), vec_id, score: nearest by inner product of the
     original vectors in double precision, ties to the smaller id. In a shard
-    with no more than k rows within the radius, a query is compared with all.
+    with no more than k rows within the radius, a query's radius grows until
+    there are more.
 
     Vectors that are null, empty, zero or hold a null, NaN or infinite
     component take no part, nor do those not of the commonest length, nor rows
@@ -214,19 +215,20 @@ def search(
                 index, rows = Index(codes[there]), raw[there]
                 for begin in range(0, asks.sum(), _PROBED):
                     queries = np.flatnonzero(asks)[begin : begin + _PROBED]
-                    found = index.retrieve(codes[queries], radius)
-                    short = found.sum(axis=1) <= k
-                    found[short] = True
-                    scores = np.where(found, raw[queries] @ rows.T, -np.inf)
-                    scores[own[queries][:, None] == own[there][None, :]] = -np.inf
+                    found, reach = index.retrieve(codes[queries], radius), radius
+                    while reach < bits and (short := np.flatnonzero(found.sum(axis=1) <= k)).size:
+                        reach += bits // WORD  # one more bit in every table
+                        found[short] = index.retrieve(codes[queries[short]], reach)
                     out: list = []
-                    width = min(k + 12, scores.shape[1])
-                    top = np.argpartition(-scores, width - 1, axis=1)[:, :width]
-                    for q, at in enumerate(top):
-                        at = np.sort(at[scores[q, at] > -np.inf])
-                        exact = (rows[at] * raw[queries[q]]).sum(axis=1)
+                    for q, near in zip(queries, found):
+                        at = np.flatnonzero(near)
+                        at = at[own[there[at]] != own[q]]
+                        exact = (rows[at] * raw[q]).sum(axis=1)
+                        if len(at) > 4 * k:  # what ties with the k-th stays
+                            top = exact >= np.partition(exact, -k)[-k]
+                            at, exact = at[top], exact[top]
                         best = np.argsort(-exact, kind="stable")[:k]
-                        out += [(own[queries[q]], ids[queries[q]], ids[there[at[j]]], exact[j]) for j in best]
+                        out += [(own[q], ids[q], ids[there[at[j]]], exact[j]) for j in best]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "vec_id", "score"])
 
