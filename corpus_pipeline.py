@@ -7,12 +7,14 @@ columns of documents; other columns of the input are dropped at the start.
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchwork.llm import langid, minhash, mixing, packing, secrets
-from parchwork.llm.scratch import discard, stash
+from parchwork.llm import langid, minhash, mixing, packing, scratch, secrets
+from parchwork.llm.scratch import stash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose language is less sure than this are rejected.
@@ -21,6 +23,7 @@ LEAST_SCORE = 0.3
 ORACLE_SQL = None
 
 
+@scratch.stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, with it as lang where that was null.
 
@@ -37,6 +40,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
+@scratch.stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id.
 
@@ -55,12 +59,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return stay.unionByName(docs.where("doc_id is null"))
 
 
+@scratch.stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts replaced by the name of its kind; n_chars follows."""
     clean = secrets.redact(docs.select(*COLUMNS), secrets.learn(secrets.labelled_credentials()))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
+@scratch.stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to twice; where it takes part of one, its first words.
 
@@ -79,6 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*COLUMNS)
 
 
+@scratch.stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids, packed into sequences along the space-filling curve."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -96,10 +103,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; the packed pieces."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = None
+    folder = f"{scratch.scratch_root(spark)}/parchwork/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        docs = stash(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            discard(before)
-        before = docs
+        done = stage(spark, docs, sf_dir)
+        done.write.parquet(f"{folder}/{name}")
+        docs = spark.read.schema(done.schema).parquet(f"{folder}/{name}")
     return docs

@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -35,6 +36,8 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """df, written to a table of its own and read from there."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/parchwork/{tag}-{uuid.uuid4().hex}"
+    if _made is not None:
+        _made.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
@@ -44,6 +47,29 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 def discard(*stashed: DataFrame) -> None:
     """Delete tables that nothing will read again."""
     for df in stashed:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._stash_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df._stash_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_made: list[str] | None = None
+
+
+def stage(f):
+    """A pipeline stage whose intermediate tables are deleted when the next stage begins.
+
+    The result of one stage must have been written before the next is called.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args):
+        global _made
+        for path in _made or ():
+            _delete(spark, path)
+        _made = []
+        return f(spark, *args)
+
+    return run
