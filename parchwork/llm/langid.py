@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FEATURES = 1 << 15
@@ -175,19 +175,20 @@ def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def train(
-    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", key: Column | None = None,
+    docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     train_docs: int = 20_000, penalty: float = 12.0,
 ) -> Model:
-    """A model of the rows with text and language; with more than ``train_docs`` of them, about that many by hash of ``key``.
+    """A model of the rows with text and language; with more than ``train_docs`` of them, about that many by hash of their texts and numbers.
 
     Rows without text or language teach nothing. Without any usable row the
     model knows no language and labels everything ``und``.
     """
     rows = docs.select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
-        F.pmod(F.xxhash64(key if key is not None else F.col(text_col)), F.lit(1_000_000)).alias("h"),
+        # With the row's number, so that copies of a text aren't all learned from.
+        F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(1_000_000)).alias("h"),
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = docs.select(lang_col, *([] if key is None else [])).where(F.col(lang_col).isNotNull()).count()
+    total = docs.select(lang_col).where(F.col(lang_col).isNotNull()).count()
     if total > train_docs:
         rows = rows.where(F.col("h") < int(train_docs / total * 1_000_000))
 

@@ -233,8 +233,10 @@ def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col
         .select("row", "at", clean.alias("w")).select("row", "at", F.explode(found).alias("gram"))
     )
     # Both tables are as large as the bundled notices make them.
-    table = spark.createDataFrame([(g, *w) for g, w in sorted(model.weights.items())], "gram string, " + ", ".join(f"w{k} double" for k in range(len(model.classes))))
-    notices = spark.createDataFrame(templates(), "family string, notice int, gram string")
+    weights = ", ".join(f"('{g}', {', '.join(f'{w!r}D' for w in ws)})" for g, ws in sorted(model.weights.items()))
+    table = spark.sql(f"SELECT * FROM VALUES {weights} AS t(gram, {', '.join(f'w{k}' for k in range(len(model.classes)))})")
+    grams_ = ", ".join(f"('{f}', {n}, '{g}')" for f, n, g in templates())
+    notices = spark.sql(f"SELECT * FROM VALUES {grams_} AS t(family, notice, gram)")
     totals = notices.groupBy("notice").agg(F.count("*").alias("all"))
     scored = (
         each.join(F.broadcast(table), "gram").groupBy("row", "at")

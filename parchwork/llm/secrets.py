@@ -14,6 +14,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -128,15 +129,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def scan(text: str, formats: Formats) -> tuple[list, list]:
     """Base spans, and all spans: those and runs of a learned format that touch none of them."""
-    base = base_spans(text)
-    taken, added, at = [(s, e) for s, _, e, _ in base], [], 0
+    base, added = base_spans(text), []
+    starts: list[int] = []  # of the stretches that base spans cover, and their ends
+    ends: list[int] = []
+    for start, _, end, _ in base:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
     for m in _RUN.finditer(text):
-        start, end = m.span()
-        run = m[0].rstrip(".=-/") if m[0][-1] in ".=-/" else m[0]
-        end = start + len(run)
-        while at < len(taken) and taken[at][0] < start and max(e for _, e in taken[: at + 1]) <= start:
-            at += 1
-        if any(s < end and start < e for s, e in taken[max(0, at - 3) : at + 64]) or len(run) < 16:
+        run = m[0].rstrip(".=-/")
+        start, end = m.start(), m.start() + len(run)
+        before = bisect_left(starts, end)
+        if len(run) < 16 or before and ends[before - 1] > start:
             continue
         if (kind := formats.best(run)) is not None:
             added.append((start, len(_KINDS), end, kind))

@@ -42,7 +42,8 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
     share = min(1.0, table_docs / total)
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000))
+        # With the row's number, so that copies of a text aren't all drawn together.
+        rows = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1_000_000))
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared((path, "count"), lambda: Encoder(path, len, _CAPACITY))
