@@ -314,6 +314,7 @@ def test_scripts_narrow_languages(spark):
     docs = spark.createDataFrame([("мир и война", "ru"), ("hello world and peace", "en"), ("ειρήνη και πόλεμος", "el")], "text string, lang string")
     model = langid.train(docs)
     assert [x for x, _ in langid.labels(model, ["вопрос", "question", "ερώτηση"])] == ["ru", "en", "el"]
+    assert [x for x, _ in langid.labels(model, ["½ ² Ⅷ 3", "x²", None])] == ["und", "en", "und"]
 
 
 def test_held_out_accuracy(spark, sf_dir):
