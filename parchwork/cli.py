@@ -37,6 +37,10 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("-w", "--workers", type=int, default=os.cpu_count() or 1, help="partitions that read at a time")
         command.add_argument("--reservar", type=int, default=0, help="workers to leave unused")
         command.add_argument("--limite-mb", type=float, default=20)
+        # Executors read their own files and hold no more than a batch of them, and the JVM's patterns can't be timed out.
+        command.add_argument("--carga-en-worker", action="store_true", help="always so here")
+        command.add_argument("--ram-mb", type=int, default=2048, help="without effect here")
+        command.add_argument("--timeout", type=int, default=30, help="without effect here")
     return parser
 
 
@@ -119,6 +123,12 @@ def _gather(args: argparse.Namespace) -> int:
             words = done.select(F.explode("words").alias("word")).where("word != ''").distinct()
             facts["palabras unicas"] = sinks.write_lines(words.orderBy(*vocab.sort_key(F.col("word"))), "word", args.palabras)
             failed = status.errors
+        each = reports.by_worker(done, F.col("worker"), F.col("seconds")).collect()  # one row for each partition
+        read = sum(r.total for r in each)
+        rest = spark.range(1).select(reports.overhead(F.lit(phase), F.lit(read), F.lit(count))).first()[0]
+        facts |= {"lectura sumada": f"{read:.6f} s", "fase sin lectura": f"{rest:.6f} s"}
+        if len(each) > 1:
+            facts |= {f"proceso {r.worker}": f"{r.n} archivos, {r.total:.6f} s, media {r['mean']:.6f} s" for r in each}
         facts |= {"tiempo de la fase": f"{phase:.6f} s", "tiempo total": f"{time.perf_counter() - began:.6f} s"}
         _report(done, folder, args.tiempos, facts)
         print(", ".join(f"{k} {v}" for k, v in facts.items()))
