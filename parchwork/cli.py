@@ -27,7 +27,7 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     opened = commands.add_parser("open", help="open every file and log how long it takes")
     opened.add_argument("--carpeta", default="~/Downloads/Files")
-    opened.add_argument("--matricula", default="AL02879741")
+    opened.add_argument("--matricula", default="corpus")
     opened.add_argument("--salida", default="salida")
     for name, kind in (("strip", "salida"), ("words", "palabras")):
         command = commands.add_parser(name)
