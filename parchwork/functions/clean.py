@@ -31,14 +31,19 @@ BLOCKS = """
     figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup
     option p pre section summary table tbody td tfoot th thead title tr ul
 """.split()
-_NONCHARACTERS = [chr(c) for c in range(0xFDD0, 0xFDF0)] + [chr((p << 16) + e) for p in range(1, 17) for e in (0xFFFE, 0xFFFF)]
-_OPEN, _CLOSE, _EDGE, *_STAND_INS = _NONCHARACTERS
+# Noncharacters with a role of their own: around a tag, around preformatted content, for an ampersand that stays one.
+_OPEN, _CLOSE, _EDGE, _AMPERSAND = map(chr, (0x1FFFE, 0x1FFFF, 0x2FFFE, 0x2FFFF))
+#: What later steps act on: markup, and white space but for what is dropped as a control character anyway.
 _UNSAFE = "<>&\"'=" + "".join(chr(c) for c in range(0x110000) if chr(c).isspace() and c not in (*range(0x0B, 0x0D), *range(0x1C, 0x20)))
-_SAFE = "".join(_STAND_INS[: len(_UNSAFE)])
+_SAFE = "".join(chr(0xFDD0 + k) for k in range(len(_UNSAFE)))
+_MARKS = r"[\x{fdd0}-\x{fdef}\x{1fffe}\x{1ffff}\x{2fffe}\x{2ffff}]"
 _CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 _NAME_ENDS = r"(?![\p{L}\p{N}_])"
 
 
+_SPACES = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+
+
 def _space() -> str:
     return f"[{space_class()}]"
 
@@ -61,33 +66,56 @@ def _tags(text: Column, pattern: str, block: str) -> Column:
     return _replace(wrapped, f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}", "")
 
 
+_PROTECT = str.maketrans(_UNSAFE, _SAFE)
+_EXPOSE = str.maketrans(_SAFE, _UNSAFE)
+_DROP = dict.fromkeys([*range(0x09), 0x0B, 0x0C, *range(0x0E, 0x20), 0x7F])
+
+
+def _referenced(text: str) -> str:
+    """Character references decoded; inside preformatted contents too, which stay protected."""
+    if _EDGE not in text:
+        return html.unescape(text)
+    parts = text.split(_EDGE)
+    return "".join(
+        html.unescape(p.translate(_EXPOSE)).translate(_DROP).translate(_PROTECT) if k % 2 else html.unescape(p) for k, p in enumerate(parts)
+    )
+
+
 @F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """Character references as HTML5 reads them; once."""
-    return text.map(html.unescape, na_action="ignore")
+    return text.map(_referenced, na_action="ignore")
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value being computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _unescape_inside(parts: pd.Series) -> pd.Series:
-    """Character references in every second string of each array."""
-    return parts.map(lambda own: [html.unescape(p) if k % 2 else p for k, p in enumerate(own)], na_action="ignore")
+def _guarded(text: Column, pattern: str, rewrite) -> Column:
+    """rewrite(text) where pattern is found; a cheap search before a dear one."""
+    return _let(text, lambda t: F.when(t.rlike(pattern), rewrite(t)).otherwise(t))
 
 
 def _protected(text: Column, pattern: str, group: str, marked_up: bool) -> Column:
-    """text with the contents of the elements that pattern finds made safe, on lines of their own."""
+    """text with the contents of the elements that pattern finds protected, on lines of their own.
+
+    Contents that are markup lose their tags and stay between marks, since
+    their references are still to be decoded; others are done with.
+    """
     parts = F.split(_replace(text, pattern, f"\n{_EDGE}{group}{_EDGE}\n"), _EDGE)
-    inside = lambda f: F.transform(parts, lambda p, k: F.when(k % 2 == 1, f(p)).otherwise(p))
     if marked_up:
         tag = f"<[a-zA-Z/!?]{_body()}>"
-        parts = _unescape_inside(inside(lambda p: _replace(_replace(p, rf"(?i)<br{_NAME_ENDS}{_body()}>", "\n"), tag, "")))
-    parts = inside(lambda p: F.translate(_replace(p, _CONTROLS, ""), _UNSAFE, _SAFE))
-    return F.array_join(parts, "")
+        done = lambda p: F.translate(_replace(_replace(p, rf"(?i)<br{_NAME_ENDS}{_body()}>", "\n"), tag, ""), _UNSAFE, _SAFE)
+        return F.array_join(F.transform(parts, lambda p, k: F.when(k % 2 == 1, done(p)).otherwise(p)), _EDGE)
+    kept = lambda p: F.translate(_replace(p, _CONTROLS, ""), _UNSAFE, _SAFE.replace(_SAFE[_UNSAFE.index("&")], _AMPERSAND))
+    return F.array_join(F.transform(parts, lambda p, k: F.when(k % 2 == 1, kept(p)).otherwise(p)), "")
 
 
 def clean_text(source: Column) -> Column:
     """The visible text of HTML; null for null."""
     s, body = _space(), _body()
-    text = F.translate(source, "".join(_NONCHARACTERS), "")
+    text = _replace(source, _MARKS, "")
     text = _replace(text, "(?s)<!--.*?-->", "\n")
     text = _replace(text, rf"(?isu)<(script|style|template|noscript){_NAME_ENDS}[^>]*+>.*?</\1{s}*+>", "\n")
     text = _replace(text, rf"(?isu)<(?:script|style){_NAME_ENDS}[^>]*+>.*\z", "\n")
@@ -95,9 +123,9 @@ def clean_text(source: Column) -> Column:
     raw = (
         rf"(?isu)<(?:(?:xmp|listing){_NAME_ENDS}{body}>(.*?)(?:</(?:xmp|listing){s}*+>|\z)|plaintext{_NAME_ENDS}{body}>(.*)\z)"
     )
-    text = F.when(text.rlike(rf"(?i)<(?:xmp|listing|plaintext){_NAME_ENDS}"), _protected(text, raw, "$1$2", False)).otherwise(text)
+    text = _guarded(text, rf"(?i)<(?:xmp|listing|plaintext){_NAME_ENDS}", lambda t: _protected(t, raw, "$1$2", False))
     pre = rf"(?isu)<pre{_NAME_ENDS}{body}>(.*?)(?:</pre{s}*+>|\z)"
-    text = F.when(text.rlike(rf"(?i)<pre{_NAME_ENDS}"), _protected(text, pre, "$1", True)).otherwise(text)
+    text = _guarded(text, rf"(?i)<pre{_NAME_ENDS}", lambda t: _protected(t, pre, "$1", True))
 
     text = _tags(text, f"<[a-zA-Z/!?]{body}>", "\n")
     text = _tags(text, rf"<[a-zA-Z][a-zA-Z0-9]*+{s}++[a-zA-Z\-]++{s}*+=[^>]*+>", "\n")
@@ -105,18 +133,16 @@ def clean_text(source: Column) -> Column:
     text = _replace(text, r"<[a-zA-Z/!?][^>]*+\z", "\n")
     text = unescape(text)
     text = _replace(text, _CONTROLS, "")
-    text = _replace(text, r"[ \t\r\f\x0b\xa0]+", " ")
-    in_line = f"[{space_class()}&&[^\\n]]"
-    text = _replace(text, f"(?md)^{in_line}++|(?<!{in_line}){in_line}++$", "")
+    text = _replace(text, r"[ \t\r\f\x0b\xa0]{2,}|[\t\r\f\x0b\xa0]", " ")
+    text = F.array_join(F.transform(F.split(text, "\n"), strip), "\n")
     text = _replace(text, "\n{3,}", "\n\n")
-    text = _replace(F.translate(text, _SAFE, _UNSAFE), "\n{3,}", "\n\n")
-    return strip(text)
+    restored = lambda t: _replace(F.translate(t, _SAFE + _AMPERSAND, _UNSAFE + "&"), "\n{3,}", "\n\n")
+    return strip(_guarded(text, _MARKS, restored))
 
 
 def strip(text: Column) -> Column:
     """A text without white space, as Python takes it, at both ends."""
-    s = _space()
-    return _replace(text, rf"\A{s}++|(?<!{s}){s}++\z", "")
+    return F.trim(text, F.lit(_SPACES))
 
 
 def clean_error(source: Column, max_chars: int = MAX_CHARS) -> Column:

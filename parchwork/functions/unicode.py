@@ -56,7 +56,8 @@ def letter_class() -> str:
     ours = {chr(c) for c in low if is_letter(chr(c))}
     more, less = sorted(map(ord, ours - theirs)), sorted(map(ord, theirs - ours))
     extra = _ranges(more)
-    return rf"[[\p{{L}}\p{{Mn}}\x{{{ALL_LETTERS:x}}}-\x{{10ffff}}{extra}]&&[^{_ranges(less)}]]"
+    beyond = rf"\x{{80}}-\x{{10ffff}}&&[\p{{L}}\p{{Mn}}\x{{{ALL_LETTERS:x}}}-\x{{10ffff}}{extra}]&&[^{_ranges(less)}]"
+    return f"[a-zA-Z[{beyond}]]"  # most characters are decided by the first ranges
 
 
 def base_letters(char: str) -> str:
