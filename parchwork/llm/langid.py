@@ -15,15 +15,18 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.workers import shared
+
 FEATURES = 1 << 15
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -38,6 +41,15 @@ _SCRIPTS = (
 )
 
 
+def _words(text: str) -> list[str]:
+    """Runs of letters, lower-cased."""
+    found = _WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    # The pattern's letters include numerals such as fractions and powers.
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def script(letter: str) -> str:
     """The script of a letter; OTHER if it isn't one of the known ones."""
     if letter < "ɐ":
@@ -134,7 +146,7 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
 
 def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     """Stretches of one language as (start, end, language), in code points from first to last letter."""
-    found = list(_WORD.finditer(text or ""))
+    found = [m for m in _WORD.finditer(text or "") if m[0].isalpha()]
     if not found:
         return []
     at = model.index([m[0].lower() for m in found])
@@ -154,7 +166,7 @@ def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     The score is that language's share of the letters times its mean
     probability, against the other languages, over the words that it holds.
     """
-    found = [_WORD.findall(t.lower()) if t and model.langs else [] for t in texts]
+    found = [_words(t) if t and model.langs else [] for t in texts]
     every = model.index([w for words in found for w in words]) if any(found) else None
     sizes = np.fromiter((len(w) for words in found for w in words), np.int64) if any(found) else None
     out, at = [], 0
@@ -200,7 +212,7 @@ def train(
                 if lang not in counts:
                     counts[lang] = np.zeros(FEATURES + len(_SCRIPTS) + 1, np.int64)
                 at: list[int] = []
-                for word in set(_WORD.findall(text.lower())):  # once a document, so that no repetitive one outweighs the rest
+                for word in set(_words(text)):  # once a document, so that no repetitive one outweighs the rest
                     if (c := known.get(word)) is None:
                         name = script(word[0])
                         c = known[word] = [*cells(word), FEATURES + (_SCRIPTS.index(name) if name in _SCRIPTS else len(_SCRIPTS))]
@@ -234,11 +246,11 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     repeated ids are kept; other columns are ignored; an empty table gives an
     empty result; texts of any length are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    sent, key = docs.sparkSession.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
     kept = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = shared(key, lambda: replace(sent.value, _ids={}))
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)

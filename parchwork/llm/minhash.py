@@ -15,7 +15,9 @@ random order assigns (optimal densification). Bins are banded into buckets.
    linked components.
 4. Larger groups go on in rounds: star edges are confirmed one by one, each
    bucket lets go of its centre, buckets whose classes are already linked
-   vanish, and what then is a group of bounded size is confirmed as in 3.
+   vanish, and what then is a group of bounded size is confirmed as in 3. A
+   bucket's centre is of its rarest component, so that a few strangers among
+   many copies are compared with all of them first.
 
 With ``rows`` bins in each of ``bands`` bands a pair of similarity s shares a
 bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at s = 0.75.
@@ -32,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchwork.llm.components import components
-from parchwork.llm.scratch import stash
+from parchwork.llm.scratch import discard, stash
+from parchwork.llm.workers import shared
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
-#: A candidate group of so many classes and shingles at most is confirmed in one task (about 100 MB).
-GROUP_CLASSES, GROUP_SHINGLES = 5_000, 4_000_000
+#: A candidate group of so many classes and shingles at most is confirmed in one task (about 200 MB).
+GROUP_CLASSES, GROUP_SHINGLES = 20_000, 4_000_000
 _CAPACITY = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +109,7 @@ def signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, n (size of the set), set (a 128-bit hash of it, null if empty) and buckets of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, signer = Shingler(), Signer()
+        shingler, signer = shared(("shingles",), Shingler), Signer()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -183,7 +186,7 @@ def _confirmed(members: DataFrame) -> DataFrame:
     """a, b: links that connect the classes of each group in members (group, id, set, text) as all links do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = shared(("shingles",), Shingler)
 
         def edges(group: dict) -> tuple[list, list]:
             classes = sorted(group)
@@ -221,21 +224,28 @@ def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return ids.join(docs, "id")
 
 
-def _stars(rows: DataFrame, salt: int) -> DataFrame:
-    """centre, id for the rows (bucket, id) of buckets with more than one class."""
+def _stars(rows: DataFrame, salt: int = 0, rarest: bool = False) -> DataFrame:
+    """bucket, centre, id for the rows (bucket, id) of buckets with more than one class; a centre of the rarest component, if asked for."""
     # The exclusive or keeps nodes apart and lets each round take another centre.
     key = F.lit(salt).cast("long")
-    centres = rows.groupBy("bucket").agg(F.min(F.col("id").bitwiseXOR(key)).alias("centre"), F.count("*").alias("many")).where("many > 1")
+    each = rows.groupBy("bucket", *(["component"] if rarest else [])).agg(F.min(F.col("id").bitwiseXOR(key)).alias("centre"), F.count("*").alias("all"))
+    if rarest:
+        each = each.groupBy("bucket").agg(F.min(F.struct("all", "centre"))["centre"].alias("centre"), F.sum("all").alias("all"))
+    centres = each.where("all > 1")
     # Read from a table, the centres are exchanged anew for the join, so that a bucket with very many rows can be split.
     centres = stash(centres.select("bucket", F.col("centre").bitwiseXOR(key).alias("centre")), "centres")
     return rows.join(centres, "bucket").where("id != centre").select("bucket", "centre", "id")
 
 
-def _pairs_confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """a, b of the edges (centre, id) that are links, each confirmed by itself."""
+def _pairs_confirmed(edges: DataFrame, own: DataFrame) -> DataFrame:
+    """a, b of the edges (centre, id) that are links, each confirmed by itself on the texts in own (id, set, text).
+
+    own is a stored table, so both sides of the join by centre are exchanged
+    for it, and the rows of a centre with very many edges can be split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler()
+        shingler = shared(("shingles",), Shingler)
         for batch in batches:
             a, b = [], []
             for x, y, dx, dy, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("centre", "id", "set_a", "set", "text_a", "text"))):
@@ -247,7 +257,6 @@ def _pairs_confirmed(edges: DataFrame, classes: DataFrame, docs: DataFrame) -> D
                         b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    own = _texts(classes.select("id", "set"), docs)
     heads = own.select(F.col("id").alias("centre"), F.col("set").alias("set_a"), F.col("text").alias("text_a"))
     return edges.join(own, "id").join(heads, "centre").select("centre", "id", "set_a", "set", "text_a", "text").mapInArrow(run, "a long, b long")
 
@@ -271,8 +280,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = stash(
         named.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "classes"
     )
-    rows = classes.select(F.explode("buckets").alias("bucket"), "id")
-    stars = stash(_stars(rows, 0).select("bucket", "centre", "id"), "stars")
+    rows = classes.select(F.explode("buckets").alias("bucket"), "id", F.lit(0).cast("long").alias("component"))
+    stars = stash(_stars(rows).select("centre", "id"), "stars")
     groups = stash(components(stars.select(F.col("centre").alias("a"), F.col("id").alias("b"))), "groups")
 
     texts_named = texts.where("id is not null")
@@ -289,17 +298,19 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         # Rows of buckets in large groups; a round confirms every bucket's star and lets its centre go.
         inside = stash(groups.join(large.select("component"), "component").select(F.col("node").alias("id")), "inside")
-        rows = stash((rows if k else rows.join(inside, "id", "left_semi")).join(inside, "id", "left_semi").select("bucket", "id"), "rows")
+        rows = stash(rows.join(inside, "id", "left_semi").select("bucket", "id", "component"), "rows")
         k += 1
-        star = stash(_stars(rows, 0x5851F42D4C957F2D * k % (1 << 62)), "stars")
+        star = stash(_stars(rows, 0x5851F42D4C957F2D * k % (1 << 62), rarest=True), "stars")
         chosen = star.select("centre", "id").distinct()
-        links.append(stash(_pairs_confirmed(chosen, classes, texts_named), "links"))
+        own = stash(_texts(classes.select("id", "set").join(inside, "id", "left_semi"), texts_named), "texts")
+        links.append(stash(_pairs_confirmed(chosen, own), "links"))
+        discard(own)
         joined = components(_every(links))
         rest = star.select("bucket", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
         rest = stash(rest.withColumn("component", F.coalesce("component", "id")), "rest")
         open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        rows = stash(rest.join(stash(open_.select("bucket"), "open"), "bucket", "left_semi").select("bucket", "id"), "rows")
-        groups = stash(components(_stars(rows, 0).select(F.col("centre").alias("a"), F.col("id").alias("b"))), "groups")
+        rows = stash(rest.join(stash(open_.select("bucket"), "open"), "bucket", "left_semi").select("bucket", "id", "component"), "rows")
+        groups = stash(components(_stars(rows).select(F.col("centre").alias("a"), F.col("id").alias("b"))), "groups")
 
     # Ids that stand for several sets tie the classes of those sets together.
     several = named.groupBy("id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x != y").select("id")

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from parchwork.llm.prefix import running_total
 from parchwork.llm.scratch import stash
-from parchwork.llm.tokens import Encoder, packed, shared
+from parchwork.llm.tokens import Encoder, packed
+from parchwork.llm.workers import shared
 
 #: Cells of the hashed vector, dimensions of the projection, bits of each.
 HASHED, DIMS, BITS = 256, 3, 10

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchwork.llm.grammars import FLOOR, Automaton, infer
+from parchwork.llm.workers import shared
 
 # The base patterns.
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -175,14 +176,15 @@ def find_secrets(docs: DataFrame, formats: Formats, *, id_col: str = "doc_id", t
     empty string). Null and repeated ids are kept; other columns are ignored;
     an empty table gives an empty result. Texts of any length are read whole.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(formats)
+    sent = docs.sparkSession.sparkContext.broadcast(formats)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared(("secrets",), tuple)
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)
                 rows = []
-                for _, base, spans in _scanned(part.column("text"), shared.value):
+                for _, base, spans in _scanned(part.column("text"), sent.value):
                     kinds = [k for _, k, _, _ in base]
                     wrote = _written(base)
                     digest = hashlib.sha256(wrote.encode()).hexdigest() if base else _NONE
@@ -215,17 +217,18 @@ def redacted(text: str, spans: list) -> str:
 
 def redact(docs: DataFrame, formats: Formats, *, text_col: str = "text") -> DataFrame:
     """docs, its columns unchanged, with every secret in ``text_col`` replaced; null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(formats)
+    sent = docs.sparkSession.sparkContext.broadcast(formats)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared(("secrets",), tuple)
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)
                 texts = part.column(text_col)
                 new = {
                     k: redacted(text, spans)
-                    for k, (text, _, spans) in enumerate(_scanned(texts, shared.value))
+                    for k, (text, _, spans) in enumerate(_scanned(texts, sent.value))
                     if spans
                 }
                 if new:

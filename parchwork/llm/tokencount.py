@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchwork.llm.tokens import Encoder, shared
+from parchwork.llm.tokens import Encoder
+from parchwork.llm.workers import shared
 
 #: Texts encoded together; keeps what a worker holds at once small.
 _GROUP = 256

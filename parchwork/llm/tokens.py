@@ -112,13 +112,3 @@ class Encoder:
 def packed(ids: list[int]) -> bytes:
     """Ids as little-endian unsigned 32-bit numbers."""
     return array("I", ids).tobytes() if sys.byteorder == "little" and array("I").itemsize == 4 else struct.pack(f"<{len(ids)}I", *ids)
-
-
-_encoders: dict = {}
-
-
-def shared(key: tuple, make: Callable):
-    """One encoder for each key in this Python worker."""
-    if key not in _encoders:
-        _encoders[key] = make()
-    return _encoders[key]
