@@ -28,6 +28,7 @@ def with_positions(vocabulary: DataFrame) -> DataFrame:
 
     Words are ranked among those of the same first letter of the sort base, and
     the counts of the letters before are added, so that no task sorts them all.
+    The vocabulary is read twice; pass a stored one if it is dear to make.
     """
     base, _ = sort_key(F.col("word"))
     keyed = vocabulary.select("word", base.alias("base")).withColumn("head", F.substring("base", 1, 2))

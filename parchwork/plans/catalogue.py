@@ -113,12 +113,12 @@ def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_PAGE_WORDS} {_POSITIONS}")
 def vocabulary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.with_positions(vocab.vocabulary(_stripped(spark, sf_dir), "text"))
+    return vocab.with_positions(shared_folder.stored(vocab.vocabulary(_stripped(spark, sf_dir), "text"), "vocabulary"))
 
 
 @_query(f"{_DOC_WORDS} {_POSITIONS}")
 def vocabulary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.with_positions(vocab.vocabulary(_table(spark, sf_dir, "documents"), "text"))
+    return vocab.with_positions(shared_folder.stored(vocab.vocabulary(_table(spark, sf_dir, "documents"), "text"), "vocabulary"))
 
 
 @_query(f"{_DOC_WORDS} SELECT count(DISTINCT word) AS words FROM w")
@@ -142,7 +142,7 @@ def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'last', n - pos + 1, word FROM p, n WHERE pos > n - 4"""
 )
 def first_last_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.ends(vocab.vocabulary(_stripped(spark, sf_dir), "text"), 6, 4)
+    return vocab.ends(shared_folder.stored(vocab.vocabulary(_stripped(spark, sf_dir), "text"), "vocabulary"), 6, 4)
 
 
 @_query(

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
@@ -32,3 +32,10 @@ def local(path: str) -> str:
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"{path} isn't on a mounted file system")
     return path.removeprefix("file://")
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, written to a table and read from there, for plans that read it more than once."""
+    path = fresh(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
