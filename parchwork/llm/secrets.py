@@ -1,9 +1,11 @@
 """Secrets in whole texts: fixed patterns, and formats learned from labelled credentials.
 
-Every labelled format gets a probabilistic automaton (see ``grammars``). Any
-run of credential characters that no fixed pattern has found is scored under
-all of them; it is added as a span of the likeliest format if its likelihood
-is as high as that of nearly all held-out credentials of the format.
+Every labelled format gets a probabilistic automaton (see ``grammars``). In
+any run of credential characters, candidates begin at the run's start, behind
+punctuation and wherever a format's leading characters occur, and end at
+punctuation or with the run. A candidate that no fixed pattern has found is
+scored under all formats; it is added as a span of the likeliest one if its
+likelihood is as high as that of nearly all held-out credentials of the format.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 import string
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
@@ -32,8 +34,10 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _KINDS = ("assign", "access", "hex")
-#: Runs that may be a credential of a learned format.
-_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: The fewest characters of a credential of a learned format.
+_SHORTEST = 16
+#: Runs that may hold credentials of learned formats.
+_RUN = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % _SHORTEST)
 #: What a text must hold for any of the four to find something.
 _ANY = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}|[A-Za-z0-9+/_.=-]{16}"
 _GROUP = 256
@@ -78,10 +82,11 @@ def labelled_credentials(each: int = 400, seed: int = 17) -> list[tuple[str, str
 
 @dataclass(frozen=True)
 class Format:
-    """One format: how runs are read, their automaton, log-probabilities of their lengths, and the least accepted likelihood."""
+    """One format: how runs are read, how they begin, their automaton, log-probabilities of their lengths, and the least accepted likelihood."""
 
     kind: str
     literal: int
+    heads: tuple[str, ...]
     automaton: Automaton
     lengths: dict[int, float]
     least: float = -math.inf
@@ -91,18 +96,39 @@ class Format:
         n = len(run) + 1
         return self.automaton.score(symbols(run, self.literal)) + self.lengths.get(len(run), FLOOR * n) / n
 
+    def ends(self, run: str, start: int) -> list[tuple[float, int]]:
+        """(score, end) of the credentials of this format that begin at ``start`` and end with the run or at punctuation."""
+        if run[start] not in self.automaton.steps[0] and self.literal:
+            return []
+        may = [n for k in self.lengths if (n := start + k) == len(run) or n < len(run) and not run[n].isalnum()]
+        return [(s, n) for n in may if (s := self.score(run[start:n])) >= self.least]
+
 
 @dataclass(frozen=True)
 class Formats:
-    """All learned formats."""
+    """All learned formats, and where in a run a credential may begin."""
 
     formats: tuple[Format, ...]
+    begin: re.Pattern
 
     def best(self, run: str) -> str | None:
         """The likeliest format of those that accept the run."""
         found = [(s, f.kind) for f in self.formats if (s := f.score(run)) >= f.least]
         return max(found)[1] if found else None
 
+    def within(self, run: str, free: Callable[[int, int], bool]) -> list[tuple[int, int, str]]:
+        """(start, end, kind) of the credentials in a run that are ``free``, from left to right and apart from each other."""
+        out, at = [], 0
+        for m in self.begin.finditer(run):
+            start = m.start()
+            if start < at or len(run) - start < _SHORTEST:
+                continue
+            found = [(s, end, f.kind) for f in self.formats for s, end in f.ends(run, start) if end - start >= _SHORTEST and free(start, end)]
+            if found:
+                _, at, kind = max(found)
+                out.append((start, at, kind))
+        return out
+
 
 def learn(credentials: list[tuple[str, str]], *, alpha: float = 0.05, hold_out: int = 4, accept: float = 0.98) -> Formats:
     """Automata of the labelled formats; every ``hold_out``-th credential of a format calibrates the likelihood that ``accept`` of them reach."""
@@ -113,10 +139,12 @@ def learn(credentials: list[tuple[str, str]], *, alpha: float = 0.05, hold_out:
         literal = leading(taught)
         sizes = Counter(map(len, own))
         lengths = {n: math.log(c / len(own)) for n, c in sizes.items()}
-        form = Format(kind, literal, infer([symbols(c, literal) for c in taught], alpha), lengths)
+        heads = tuple(sorted({c[:literal] for c in own}))
+        form = Format(kind, literal, heads, infer([symbols(c, literal) for c in taught], alpha), lengths)
         scores = sorted(map(form.score, own[::hold_out]))
         out.append(replace(form, least=scores[int((1 - accept) * len(scores))] - 0.3))
-    return Formats(tuple(out))
+    heads = "|".join(re.escape(h) for f in out for h in f.heads if h)
+    return Formats(tuple(out), re.compile("^|(?<=[^A-Za-z0-9])" + (f"|(?={heads})" if heads else "")))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -129,7 +157,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def scan(text: str, formats: Formats) -> tuple[list, list]:
-    """Base spans, and all spans: those and runs of a learned format that touch none of them."""
+    """Base spans, and all spans: those and credentials of learned formats that overlap none of them."""
     base, added = base_spans(text), []
     starts: list[int] = []  # of the stretches that base spans cover, and their ends
     ends: list[int] = []
@@ -139,14 +167,15 @@ def scan(text: str, formats: Formats) -> tuple[list, list]:
         else:
             starts.append(start)
             ends.append(end)
-    for m in _RUN.finditer(text):
-        run = m[0].rstrip(".=-/")
-        start, end = m.start(), m.start() + len(run)
+
+    def free(start: int, end: int) -> bool:
         before = bisect_left(starts, end)
-        if len(run) < 16 or before and ends[before - 1] > start:
-            continue
-        if (kind := formats.best(run)) is not None:
-            added.append((start, len(_KINDS), end, kind))
+        return not before or ends[before - 1] <= start
+
+    for m in _RUN.finditer(text):
+        at = m.start()
+        found = formats.within(m[0], lambda start, end: free(at + start, at + end))
+        added += [(at + start, len(_KINDS), at + end, kind) for start, end, kind in found]
     return base, sorted(base + added) if added else base
 
 

@@ -232,6 +232,20 @@ def test_learned_spans_and_redaction(spark):
     assert helpers.rows(secrets.redact(df, FORMATS)) == [(0, "see [github] and [assign] é"), (1, None), (2, "clean text")]
 
 
+def test_credentials_behind_names_and_before_punctuation():
+    fresh = dict(secrets.labelled_credentials(1, seed=5))
+    google = fresh["google"][:-1]  # its last character is replaced
+    cases = [("GITHUB_PAT=", "github", fresh["github"], ""), ("js?key=", "google", google + "x", "&v=1"), ("cfg/", "npm", fresh["npm"], "/x"), ("a=", "gitlab", fresh["gitlab"][:-1] + "q", ""),
+             ("see ", "google", google + "-", " now"), ("id.", "jwt", fresh["jwt"][:-1] + "-", "."), ("gitlabglpat", "gitlab", fresh["gitlab"][5:], ""), ("", "stripe", fresh["stripe"], "...")]
+    for before, kind, credential, after in cases:
+        start = len(before) - 5 * before.endswith("glpat")
+        want = (start, len(before) + len(credential), kind)
+        assert [(s, e, k) for s, _, e, k in secrets.scan(before + credential + after, FORMATS)[1]] == [want], before
+    both = f"A={fresh['npm']}/B={fresh['github']}"
+    assert secrets.redacted(both, secrets.scan(both, FORMATS)[1]) == "A=[npm]/B=[github]"
+    assert secrets.scan(f"x={fresh['github']}abc", FORMATS) == ([], [])  # a longer word
+
+
 def test_inferred_automaton_generalises():
     samples = ["a" + "b" * k + "c" for k in range(1, 9) for _ in range(40 >> k or 1)]
     automaton = grammars.infer(samples)
