@@ -17,7 +17,6 @@ import random
 import re
 import string
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -45,12 +44,57 @@ _GROUP = 256
 _FIXED = 6
 
 
-def symbols(run: str, literal: int) -> list[str]:
-    """A run as an automaton reads it: ``literal`` leading characters and all punctuation as they are, other letters and digits by class."""
-    return [
-        c if k < literal or not c.isalnum() else "9" if c.isdigit() else "A" if c.isupper() else "a"
-        for k, c in enumerate(run)
-    ]
+#: The symbol of a character as it is usual in its part.
+_USUAL = "x"
+
+
+def _class(c: str) -> str:
+    return c if not c.isalnum() else "9" if c.isdigit() else "A" if c.isupper() else "a"
+
+
+@dataclass(frozen=True)
+class Reader:
+    """How an automaton reads runs: ``literal`` leading characters as they are, the others by part.
+
+    ``marks`` part a credential; other characters are read as usual where their class occurs in labelled
+    credentials' same part (``usual``), else as their class. How long parts are is thereby left to the automaton.
+    """
+
+    literal: int
+    marks: frozenset[str]
+    usual: tuple[frozenset[str], ...]
+
+    def symbols(self, run: str, start: int = 0) -> Iterator[tuple[str, int]]:
+        """Symbols of a run from ``start`` on, each with the number of its part."""
+        part = 0
+        for k in range(start, len(run)):
+            c = run[k]
+            if k < start + self.literal:
+                yield c, -1
+            elif c in self.marks:
+                part += 1
+                yield c, part
+            else:
+                own = _class(c)
+                yield _USUAL if part < len(self.usual) and own in self.usual[part] else own, part
+
+    def whole(self, run: str) -> list[str]:
+        return [s for s, _ in self.symbols(run)]
+
+
+def reader(credentials: list[str]) -> Reader:
+    """Marks are the punctuation that all credentials hold equally often behind the leading places."""
+    literal = leading(credentials)
+    rest = [c[literal:] for c in credentials]
+    seen = {c for r in rest for c in r if not c.isalnum()}
+    marks = frozenset(c for c in seen if len({r.count(c) for r in rest}) == 1)
+    usual: list[set[str]] = []
+    for r in rest:
+        for k, part in enumerate(re.split(f"[{re.escape(''.join(sorted(marks)))}]", r) if marks else [r]):
+            if k == len(usual):
+                usual.append(set())
+            usual[k].update(map(_class, part))
+    return Reader(literal, marks, tuple(map(frozenset, usual)))
 
 
 def leading(credentials: list[str]) -> int:
@@ -62,7 +106,11 @@ def leading(credentials: list[str]) -> int:
 
 
 def labelled_credentials(each: int = 400, seed: int = 17) -> list[tuple[str, str]]:
-    """(format, credential) pairs drawn from publicly documented formats."""
+    """(format, credential) pairs drawn from publicly documented formats.
+
+    Parts without a fixed length, those of a jwt and the numbers of a slack token, vary so
+    much that the automata learn no limit of them.
+    """
     rng = random.Random(seed)
     alnum, upper = string.ascii_letters + string.digits, string.ascii_uppercase + string.digits
     some = lambda chars, n: "".join(rng.choices(chars, k=n))
@@ -72,9 +120,9 @@ def labelled_credentials(each: int = 400, seed: int = 17) -> list[tuple[str, str
         "github": lambda: rng.choice(["ghp_", "gho_", "ghs_"]) + some(alnum, 36),
         "gitlab": lambda: "glpat-" + some(alnum + "_-", 20),
         "google": lambda: "AIza" + some(alnum + "_-", 35),
-        "jwt": lambda: "eyJhbGci" + some(alnum, 28) + "." + web64(f'{{"sub":"{some(alnum, 20)}"}}') + "." + some(alnum + "_-", 43),
+        "jwt": lambda: "eyJhbGci" + some(alnum + "_-", rng.randrange(8, 80)) + "." + web64(f'{{"sub":"{some(alnum + "?>~", rng.randrange(1, 120))}"}}') + "." + some(alnum + "_-", rng.randrange(32, 128)),
         "npm": lambda: "npm_" + some(alnum, 36),
-        "slack": lambda: rng.choice(["xoxb-", "xoxp-"]) + some(string.digits, 12) + "-" + some(string.digits, 12) + "-" + some(alnum, 24),
+        "slack": lambda: rng.choice(["xoxb-", "xoxp-"]) + some(string.digits, rng.randrange(1, 24)) + "-" + some(string.digits, rng.randrange(1, 24)) + "-" + some(alnum, 24),
         "stripe": lambda: rng.choice(["sk_live_", "rk_live_"]) + some(alnum, 24),
     }
     return [(kind, f()) for kind, f in make.items() for _ in range(each)]
@@ -82,26 +130,40 @@ def labelled_credentials(each: int = 400, seed: int = 17) -> list[tuple[str, str
 
 @dataclass(frozen=True)
 class Format:
-    """One format: how runs are read, how they begin, their automaton, log-probabilities of their lengths, and the least accepted likelihood."""
+    """One format: how runs are read, how they begin, their automaton, and the least accepted likelihood."""
 
     kind: str
-    literal: int
+    reader: Reader
     heads: tuple[str, ...]
     automaton: Automaton
-    lengths: dict[int, float]
     least: float = -math.inf
 
     def score(self, run: str) -> float:
-        """Mean log-probability of a run's symbols, its end and its length."""
-        n = len(run) + 1
-        return self.automaton.score(symbols(run, self.literal)) + self.lengths.get(len(run), FLOOR * n) / n
-
-    def ends(self, run: str, start: int) -> list[tuple[float, int]]:
-        """(score, end) of the credentials of this format that begin at ``start`` and end with the run or at punctuation."""
-        if run[start] not in self.automaton.steps[0] and self.literal:
-            return []
-        may = [n for k in self.lengths if (n := start + k) == len(run) or n < len(run) and not run[n].isalnum()]
-        return [(s, n) for n in may if (s := self.score(run[start:n])) >= self.least]
+        """Mean log-probability of a run's symbols and its end."""
+        return self.automaton.score(self.reader.whole(run))
+
+    def longest(self, run: str, start: int, dead: set) -> tuple[float, int] | None:
+        """(score, end) of the longest credential of this format that begins at ``start`` and ends with the run or at punctuation.
+
+        ``dead`` are the places, with state and part, from which earlier calls for the run reached no
+        end; walks that come there stop, so that many beginnings in a long run cost no square of it.
+        """
+        at, total, found, ended, passed = 0, 0.0, None, False, []
+        for n, (s, part) in enumerate(self.reader.symbols(run, start), start + 1):
+            step = self.automaton.steps[at].get(s)
+            if step is None or (n, step[0], part) in dead:
+                break
+            at, p = step
+            total += p
+            if part >= 0:
+                passed.append((n, at, part))
+            if self.automaton.ends[at] > FLOOR and (n == len(run) or not run[n].isalnum()):
+                ended = True
+                if (score := (total + self.automaton.ends[at]) / (n - start + 1)) >= self.least:
+                    found = score, n
+        if not ended:
+            dead.update(passed)
+        return found
 
 
 @dataclass(frozen=True)
@@ -119,11 +181,13 @@ class Formats:
     def within(self, run: str, free: Callable[[int, int], bool]) -> list[tuple[int, int, str]]:
         """(start, end, kind) of the credentials in a run that are ``free``, from left to right and apart from each other."""
         out, at = [], 0
+        dead: list[set] = [set() for _ in self.formats]
         for m in self.begin.finditer(run):
             start = m.start()
-            if start < at or len(run) - start < _SHORTEST:
+            if start < at or len(run) - start < _SHORTEST or not free(start, start + 1):
                 continue
-            found = [(s, end, f.kind) for f in self.formats for s, end in f.ends(run, start) if end - start >= _SHORTEST and free(start, end)]
+            longest = [(x, f.kind) for f, d in zip(self.formats, dead) if (x := f.longest(run, start, d))]
+            found = [(score, end, kind) for (score, end), kind in longest if end - start >= _SHORTEST and free(start, end)]
             if found:
                 _, at, kind = max(found)
                 out.append((start, at, kind))
@@ -136,11 +200,9 @@ def learn(credentials: list[tuple[str, str]], *, alpha: float = 0.05, hold_out:
     for kind in sorted({k for k, _ in credentials}):
         own = [c for k, c in credentials if k == kind]
         taught = [c for k, c in enumerate(own) if k % hold_out]
-        literal = leading(taught)
-        sizes = Counter(map(len, own))
-        lengths = {n: math.log(c / len(own)) for n, c in sizes.items()}
-        heads = tuple(sorted({c[:literal] for c in own}))
-        form = Format(kind, literal, heads, infer([symbols(c, literal) for c in taught], alpha), lengths)
+        how = reader(taught)
+        heads = tuple(sorted({c[: how.literal] for c in own}))
+        form = Format(kind, how, heads, infer([how.whole(c) for c in taught], alpha))
         scores = sorted(map(form.score, own[::hold_out]))
         out.append(replace(form, least=scores[int((1 - accept) * len(scores))] - 0.3))
     heads = "|".join(re.escape(h) for f in out for h in f.heads if h)

@@ -246,6 +246,26 @@ def test_credentials_behind_names_and_before_punctuation():
     assert secrets.scan(f"x={fresh['github']}abc", FORMATS) == ([], [])  # a longer word
 
 
+def test_credentials_of_lengths_that_no_label_has():
+    rng = random.Random(12)
+    some = lambda chars, n: "".join(rng.choices(chars, k=n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    jwts = [f"eyJhbGci{some(alnum, a)}.eyJzdWIi{some(alnum, b)}.{some(alnum + '_-', c)}" for a, b, c in [(28, 10, 43), (28, 33, 43), (40, 171, 86), (60, 900, 342), (90, 2500, 683), (12, 24, 64)]]
+    slacks = [f"{head}{some('0123456789', a)}-{some('0123456789', b)}-{some(alnum, 24)}" for head in ("xoxb-", "xoxp-") for a, b in [(10, 10), (10, 13), (11, 12), (13, 11), (13, 13)]]
+    assert FORMATS.best(f"xoxb-{some('0123456789', 26)}-{some('0123456789', 30)}-{some(alnum, 24)}") == "slack"  # digits that scan leaves to hex
+    for kind, credentials in (("jwt", jwts), ("slack", slacks)):
+        for c in credentials:
+            text = f"TOKEN_IS {c}, x=/{c}."
+            assert secrets.redacted(text, secrets.scan(text, FORMATS)[1]) == f"TOKEN_IS [{kind}], x=/[{kind}]."
+    # A length that is fixed in all labels stays so, and so does the order of parts.
+    for run in ("ghp_" + "a1" * 17, "ghp_" + "a1" * 19, "npm_internationalisation", "eyJhbGci" + "a1" * 60, "xoxb-" + "12" * 20, "xoxb-" + "ab" * 6 + "-" + "12" * 6 + "-" + "a1" * 12):
+        assert secrets.scan(run, FORMATS)[1] == secrets.base_spans(run), run
+
+
+def test_many_beginnings_in_a_long_run():
+    assert secrets.scan("eyJhbGci" * 20_000, FORMATS) == ([], [])
+
+
 def test_inferred_automaton_generalises():
     samples = ["a" + "b" * k + "c" for k in range(1, 9) for _ in range(40 >> k or 1)]
     automaton = grammars.infer(samples)
