@@ -6,8 +6,9 @@ switch labels the words, so that runs of one language become spans.
 
 Learned from labelled rows: trigram counts per language in ``FEATURES`` hashed
 cells, and which languages write in which script. Only rows up to
-``train_docs`` (chosen by hash when there are more) are learned from; the model
-holds languages x cells numbers whatever the size of the corpus.
+``train_docs`` (chosen by hash within each language when there are more; see
+``shares``) are learned from; the model holds languages x cells numbers
+whatever the size of the corpus.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _GROUP = 256
 _CAPACITY = 300_000
 #: A script counts as one a language writes in from this share of its letters.
 _SCRIPT_SHARE = 0.01
+#: Hashes by which rows are sampled are below this.
+_HASHES = 1 << 40
 # The first word of the Unicode names of letters, by script.
 _SCRIPTS = (
     "LATIN", "GREEK", "CYRILLIC", "ARMENIAN", "HEBREW", "ARABIC", "DEVANAGARI", "BENGALI", "TAMIL", "TELUGU",
@@ -186,23 +189,44 @@ def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     return out
 
 
+def shares(counts: dict[str, int], train_docs: int, least: int) -> dict[str, float]:
+    """Of languages with more rows than the sample takes of one, the share that it takes; of all others it takes every row.
+
+    All languages have the same limit, which is as high as ``train_docs`` rows
+    in all allow, but not below ``least``.
+    """
+    left, limit = train_docs, math.inf
+    for k, n in enumerate(sorted(counts.values())):
+        limit = left / (len(counts) - k)
+        if n > limit:
+            break
+        left -= n
+        limit = math.inf
+    limit = max(limit, least)
+    return {lang: limit / n for lang, n in counts.items() if n > limit}
+
+
 def train(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
-    train_docs: int = 20_000, penalty: float = 12.0,
+    train_docs: int = 20_000, penalty: float = 12.0, least: int = 20,
 ) -> Model:
     """A model of the rows with text and language; with more than ``train_docs`` of them, about that many by hash of their texts and numbers.
 
+    They are chosen by language: rare languages keep all their rows, the
+    others about as many as each other and ``least`` or more, so that the
+    sample has at most about ``train_docs`` rows and ``least`` a language.
     Rows without text or language teach nothing. Without any usable row the
     model knows no language and labels everything ``und``.
     """
     rows = docs.select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
         # With the row's number, so that copies of a text aren't all learned from.
-        F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(1_000_000)).alias("h"),
+        F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(_HASHES)).alias("h"),
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    total = docs.select(lang_col).where(F.col(lang_col).isNotNull()).count()
-    if total > train_docs:
-        rows = rows.where(F.col("h") < int(train_docs / total * 1_000_000))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if taken := shares(counts, train_docs, least):
+        limits = F.create_map(*(F.lit(x) for lang, share in taken.items() for x in (lang, int(share * _HASHES))))
+        rows = rows.where(F.col("h") < F.coalesce(limits[F.col("lang")], F.lit(_HASHES)))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}

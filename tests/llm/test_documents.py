@@ -351,6 +351,22 @@ def test_scripts_narrow_languages(spark):
     assert [x for x, _ in langid.labels(model, ["½ ² Ⅷ 3", "x²", None])] == ["und", "en", "und"]
 
 
+def test_a_rare_language_keeps_its_rows(spark):
+    rows_ = [(f"the word number w{k} and the other one", "en") for k in range(2_000)] + [(f"das wort und die katze nummer {k}", "de") for k in range(900)] + [(f"talo ja metsä kissa {k}", "fi") for k in range(4)]
+    model = langid.train(spark.createDataFrame(rows_, "text string, lang string"), train_docs=100)
+    assert model.langs == ["de", "en", "fi"]
+    assert [x for x, _ in langid.labels(model, ["kissa ja talo", "the other word", "die katze"])] == ["fi", "en", "de"]
+
+
+def test_samples_by_language_are_bounded():
+    assert langid.shares({"en": 60, "de": 40}, 100, 20) == langid.shares({}, 100, 20) == {}
+    assert langid.shares({"en": 10**7, "de": 500, "fi": 7}, 1007, 20) == {"en": 500 / 10**7}
+    counts = {"en": 5_000_000, "de": 90_000, "fi": 200}
+    taken = {k: n * langid.shares(counts, 20_000, 20).get(k, 1) for k, n in counts.items()}
+    assert taken == pytest.approx({"en": 9_900, "de": 9_900, "fi": 200})
+    assert langid.shares({str(k): 1000 for k in range(50)}, 100, 20) == {str(k): 0.02 for k in range(50)}
+
+
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     from parchwork.llm import catalogue
