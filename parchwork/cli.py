@@ -37,10 +37,9 @@ def _parser() -> argparse.ArgumentParser:
         command.add_argument("-w", "--workers", type=int, default=os.cpu_count() or 1, help="partitions that read at a time")
         command.add_argument("--reservar", type=int, default=0, help="workers to leave unused")
         command.add_argument("--limite-mb", type=float, default=20)
-        # Executors read their own files and hold no more than a batch of them, and the JVM's patterns can't be timed out.
-        command.add_argument("--carga-en-worker", action="store_true", help="always so here")
-        command.add_argument("--ram-mb", type=int, default=2048, help="without effect here")
-        command.add_argument("--timeout", type=int, default=30, help="without effect here")
+        command.add_argument("--carga-en-worker", action="store_true", help="always so here: executors read their own files")
+        command.add_argument("--ram-mb", type=int, default=2048, help="bytes of files that all readers together hold back")
+        command.add_argument("--timeout", type=int, default=30, help="seconds for a document in each stage; 0 for no limit")
     return parser
 
 
@@ -53,6 +52,12 @@ def _session() -> SparkSession:
     return SparkSession.builder.appName("parchwork").getOrCreate()
 
 
+def _print_failures(rows: DataFrame) -> None:
+    """Every failed file, by path, on stderr; they come to the driver a partition at a time."""
+    for r in reports.failures(rows).select("path", "error").orderBy("path").toLocalIterator():
+        print(f"{r.path}: {r.error}", file=sys.stderr)
+
+
 def _open(args: argparse.Namespace) -> int:
     student = args.matricula.strip()
     if not student:
@@ -79,18 +84,17 @@ def _open(args: argparse.Namespace) -> int:
             print(f"No se pudo escribir {path}: {e.strerror}", file=sys.stderr)
             return 1
         print(f"{count} archivos, {failed} con error, {total:.6f} s; {path}")
-        for r in reports.failures(rows).orderBy("path").limit(20).collect():
-            print(f"{r.path}: {r.error}", file=sys.stderr)
+        _print_failures(rows)
         return 2 if failed else 0
     finally:
         rows.unpersist()
 
 
-def _report(rows: DataFrame, root: str, path: str, facts: dict[str, object]) -> None:
-    named = rows.select(paths.short_name(paths.relative(F.col("path"), F.lit(root)), F.lit(root)).alias("path"), "seconds", "error")
-    sinks.write_lines(reports.timing_report(named), "line", path)
+def _report(rows: DataFrame, root: str, path: str, facts: list[str]) -> None:
+    short = paths.short_name(paths.relative(F.col("path"), F.lit(root)), F.lit(root))
+    sinks.write_lines(reports.timing_report(rows.select(short.alias("path"), F.col("clean_seconds").alias("seconds"), "error")), "line", path)
     with open(path, "a", encoding="utf-8") as f:
-        f.writelines(f"{k}: {v}\n" for k, v in facts.items())
+        f.writelines(f"{line}\n" for line in facts)
 
 
 def _gather(args: argparse.Namespace) -> int:
@@ -98,42 +102,52 @@ def _gather(args: argparse.Namespace) -> int:
     if not os.path.isdir(folder):
         print(f"No es una carpeta: {args.carpeta}", file=sys.stderr)
         return 2
-    files = len(html_corpus.list_deep(folder))
-    if not files:
-        print("No hay documentos HTML")
-        return 0
-    spark = _session()
+    spark, cores, gathers = _session(), os.cpu_count() or 1, args.command == "words"
     began = time.perf_counter()
-    count = workers(args.workers, args.reservar, os.cpu_count() or 1, files)
-    raw = flows.read_documents(spark, folder, int(args.limite_mb * 1024 * 1024), count)
-    done = flows.strip_bytes(raw).withColumn("worker", F.spark_partition_id())
-    if args.command == "words":
-        done = flows.document_words(done)
+    count = workers(args.workers, args.reservar, cores, 1 << 31)
+    held = max(1, int(args.ram_mb * 1024 * 1024 / count))
+    raw = flows.read_documents(spark, folder, int(args.limite_mb * 1024 * 1024), count, held)
+    done = flows.strip_bytes(raw, args.timeout or None).withColumn("worker", F.spark_partition_id())
+    if gathers:
+        done = flows.document_words(done, args.timeout or None)
     done = done.persist()  # its text or words are used once more, its counts twice
     try:
         status = reports.status_counts(done).first()
-        size = reports.mebibytes(done, F.col("bytes")).first()
+        if not status.files:
+            print("No hay documentos HTML")
+            return 0
+        count = min(count, status.files)
+        mib = reports.mebibytes(done, F.col("bytes")).first().mib
         phase = time.perf_counter() - began
-        facts: dict[str, object] = {"archivos": status.files, "errores": status.errors, "vacios": status.empty, "procesos": count, "MB leidos": f"{size.mib:.1f}"}
-        if args.command == "strip":
-            name = paths.output_name(paths.relative(F.col("path"), F.lit(folder)))
-            wrote = sinks.write_texts(reports.successes(done).select(name.alias("name"), "text"), os.path.abspath(args.salida))
-            failed = status.errors + wrote.where("error is not null").count()
+        if gathers:
+            at = time.perf_counter()
+            words = done.select(F.explode("words").alias("word")).where("word != ''").distinct().persist()
+            unique = words.count()
+            union, at = time.perf_counter() - at, time.perf_counter()
+            sinks.write_lines(words.orderBy(*vocab.sort_key(F.col("word"))), "word", args.palabras)
+            words.unpersist()
+            wrote, failed = time.perf_counter() - at, status.errors
         else:
-            words = done.select(F.explode("words").alias("word")).where("word != ''").distinct()
-            facts["palabras unicas"] = sinks.write_lines(words.orderBy(*vocab.sort_key(F.col("word"))), "word", args.palabras)
-            failed = status.errors
-        each = reports.by_worker(done, F.col("worker"), F.col("seconds")).collect()  # one row for each partition
-        read = sum(r.total for r in each)
-        rest = spark.range(1).select(reports.overhead(F.lit(phase), F.lit(read), F.lit(count))).first()[0]
-        facts |= {"lectura sumada": f"{read:.6f} s", "fase sin lectura": f"{rest:.6f} s"}
+            name = paths.output_name(paths.relative(F.col("path"), F.lit(folder)))
+            written = sinks.write_texts(reports.successes(done).select(name.alias("name"), "text"), os.path.abspath(args.salida))
+            union, failed = None, status.errors + written.where("error is not null").count()
+        stages = reports.stage_seconds(done, ["seconds", "clean_seconds", *(["word_seconds"] if gathers else [])]).first()
+        work = stages.clean_seconds + (stages.word_seconds if gathers else 0.0)
+        rest = spark.range(1).select(reports.overhead(F.lit(phase), F.lit(work), F.lit(count))).first()[0]
+        facts = [
+            f"tiempo total en eliminar las etiquetas HTML: {phase:.6f} segundos", f"tiempo total de ejecucion: {time.perf_counter() - began:.6f} segundos",
+            f"archivos procesados: {status.ok}", f"archivos con error: {failed}", f"archivos vacios: {status.empty}", f"nucleos de la maquina: {cores}", f"procesos lanzados: {count}",
+            *([f"palabras unicas encontradas: {unique}"] if gathers else []), "desglose:",
+            f"  lectura de disco (sumada): {stages.seconds:.6f} s ({mib:.1f} MB)", f"  limpieza pura (suma de CPU): {stages.clean_seconds:.6f} s",
+            *([f"  extraccion pura (suma de CPU): {stages.word_seconds:.6f} s"] if gathers else []), f"  fase de limpieza (tiempo real): {phase:.6f} s",
+            *([f"  union del vocabulario: {union:.6f} s", f"  ordenar y escribir palabras: {wrote:.6f} s"] if gathers else []), f"  sobrecoste de reparto: {rest:.6f} s",
+        ]
+        each = reports.by_worker(reports.successes(done), F.col("worker"), F.col("clean_seconds")).collect()  # one row for each partition
         if len(each) > 1:
-            facts |= {f"proceso {r.worker}": f"{r.n} archivos, {r.total:.6f} s, media {r['mean']:.6f} s" for r in each}
-        facts |= {"tiempo de la fase": f"{phase:.6f} s", "tiempo total": f"{time.perf_counter() - began:.6f} s"}
+            facts += ["reparto real por proceso:", *(f"  {r.worker}: {r.n} archivos, {r.total:.6f} s, media {r['mean']:.6f} s" for r in each)]
         _report(done, folder, args.tiempos, facts)
-        print(", ".join(f"{k} {v}" for k, v in facts.items()))
-        for r in reports.failures(done).orderBy("path").limit(20).collect():
-            print(f"{r.path}: {r.error}", file=sys.stderr)
+        print(f"{status.ok} archivos, {failed} con error, {status.empty} vacios, {phase:.6f} s; {args.tiempos}")
+        _print_failures(done)
         return 1 if failed else 0
     finally:
         done.unpersist()

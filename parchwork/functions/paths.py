@@ -12,12 +12,12 @@ def base_name(path: Column) -> Column:
 
 def is_html(path: Column) -> Column:
     """Whether a file's suffix is .html or .htm in any case; a name that is only a suffix has none."""
-    return F.lower(base_name(path)).rlike(r"[^/]\.html?$")
+    return F.lower(base_name(path)).rlike(r"[^/]\.html?\z")
 
 
 def is_markup(path: Column) -> Column:
     """Whether a name ends in .html, .htm or .xhtml in any case."""
-    return F.lower(base_name(path)).rlike(r"\.(?:html?|xhtml)$")
+    return F.lower(base_name(path)).rlike(r"\.(?:html?|xhtml)\z")
 
 
 def is_under(path: Column, root: Column) -> Column:
@@ -32,7 +32,7 @@ def relative(path: Column, root: Column) -> Column:
 
 def without_extension(path: Column) -> Column:
     """A path without its last suffix; leading dots of the name are no suffix."""
-    return F.regexp_replace(path, r"(?<=[^/.])\.[^./]*$", "")
+    return F.regexp_replace(path, r"(?<=[^/.])\.[^./]*\z", "")
 
 
 def output_name(relative_path: Column) -> Column:

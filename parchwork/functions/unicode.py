@@ -1,18 +1,15 @@
 """Character classes and folding tables, built from rules over Unicode.
 
-The engine's word and white-space rules are those of Python's Unicode tables;
-the JVM's are older. The functions here find where they differ and correct it,
-so that everything downstream stays a built-in JVM expression.
+The engine's word and white-space rules are those of Python's Unicode tables.
 """
 
 from __future__ import annotations
 
 import functools
+import re
 import sys
 import unicodedata
 
-from pyspark.sql import SparkSession
-
 #: From this code point on everything counts as a letter.
 ALL_LETTERS = 0x2600
 # Letters with no decomposition and what they sort as.
@@ -21,24 +18,6 @@ SORTS_AS = {
 }
 
 
-def _ranges(points: list[int]) -> str:
-    """Code points as the inside of a Java character class."""
-    out, k = [], 0
-    while k < len(points):
-        first = k
-        while k + 1 < len(points) and points[k + 1] == points[k] + 1:
-            k += 1
-        out.append(f"\\x{{{points[first]:x}}}" + (f"-\\x{{{points[k]:x}}}" if k > first else ""))
-        k += 1
-    return "".join(out)
-
-
-@functools.cache
-def space_class() -> str:
-    """The inside of a Java class of what Python takes as white space."""
-    return _ranges([c for c in range(sys.maxunicode + 1) if chr(c).isspace()])
-
-
 def is_letter(char: str) -> bool:
     """Whether a character is part of words: letters and non-spacing marks, without ª and º, and all from U+2600 on."""
     if ord(char) >= ALL_LETTERS:
@@ -49,15 +28,15 @@ def is_letter(char: str) -> bool:
 
 @functools.cache
 def letter_class() -> str:
-    """A Java class of the characters of words: the JVM's letters and marks, corrected where its tables differ."""
-    low = [c for c in range(ALL_LETTERS) if not 0xD800 <= c < 0xE000]
-    query = "SELECT regexp_extract_all(:every, '[\\\\p{L}\\\\p{Mn}]', 0) AS found"
-    theirs = set(SparkSession.active().sql(query, args={"every": "".join(map(chr, low))}).first()["found"])
-    ours = {chr(c) for c in low if is_letter(chr(c))}
-    more, less = sorted(map(ord, ours - theirs)), sorted(map(ord, theirs - ours))
-    extra = _ranges(more)
-    beyond = rf"\x{{80}}-\x{{10ffff}}&&[\p{{L}}\p{{Mn}}\x{{{ALL_LETTERS:x}}}-\x{{10ffff}}{extra}]&&[^{_ranges(less)}]"
-    return f"[a-zA-Z[{beyond}]]"  # most characters are decided by the first ranges
+    """The inside of a Python character class of the characters of words."""
+    low, out, first = [is_letter(chr(c)) for c in range(ALL_LETTERS)], [], None
+    for c, letter in enumerate([*low, False]):
+        if letter and first is None:
+            first = c
+        elif not letter and first is not None:
+            out.append(f"{re.escape(chr(first))}-{re.escape(chr(c - 1))}")
+            first = None
+    return "".join(out) + f"{chr(ALL_LETTERS)}-{chr(sys.maxunicode)}"
 
 
 def base_letters(char: str) -> str:

@@ -42,6 +42,17 @@ def by_worker(rows: DataFrame, worker: Column, value: Column) -> DataFrame:
     )
 
 
+def stage_seconds(rows: DataFrame, stages: list[str]) -> DataFrame:
+    """One row: the seconds of each stage, summed over documents; zero without any."""
+    return rows.agg(*(F.coalesce(F.sum(s), F.lit(0.0)).alias(s) for s in stages))
+
+
+def phase_scalars(totals: DataFrame, phase: str, other: str, parts: list[str]) -> DataFrame:
+    """One row of key and value lines: how many times the other's seconds a phase took, and the sum of several parts."""
+    seconds = lambda key: F.max(F.when(F.col("key") == key, F.regexp_extract("value", r"[0-9.]+", 0).cast("double")))
+    return totals.agg((seconds(phase) / seconds(other)).alias("ratio"), sum((seconds(p) for p in parts[1:]), seconds(parts[0])).alias("together"))
+
+
 def overhead(phase: Column, cpu: Column, workers: Column, union: Column | None = None) -> Column:
     """Seconds of a phase that neither the workers' even share of CPU time nor the union explains; not below zero."""
     rest = phase - cpu / workers

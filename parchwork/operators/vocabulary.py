@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchwork.functions.words import sort_key, words
+from parchwork.functions.words import sort_key, words, words_by_task
+from parchwork.operators.ranks import with_place
 
 
 def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -14,8 +15,8 @@ def document_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
-    """All distinct words. Each document's are made distinct before they are exchanged."""
-    return docs.select(F.explode(words(F.col(text_col))).alias("word")).where(F.col("word") != "").distinct()
+    """All distinct words. Each task's are made distinct before they are exchanged."""
+    return words_by_task(docs, text_col).where("word != ''").distinct()
 
 
 def sorted_vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
@@ -24,24 +25,17 @@ def sorted_vocabulary(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def with_positions(vocabulary: DataFrame) -> DataFrame:
-    """Each word and its place in the order, from 1.
-
-    Words are ranked among those of the same first letter of the sort base, and
-    the counts of the letters before are added, so that no task sorts them all.
-    The vocabulary is read twice; pass a stored one if it is dear to make.
-    """
+    """Each word and its place in the order, from 1."""
     base, _ = sort_key(F.col("word"))
-    keyed = vocabulary.select("word", base.alias("base")).withColumn("head", F.substring("base", 1, 2))
-    own = keyed.withColumn("own", F.row_number().over(Window.partitionBy("head").orderBy("base", "word")))
-    heads = keyed.groupBy("head").count()
-    before = F.coalesce(F.sum("count").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return own.join(heads.select("head", before.alias("before")), "head").select("word", (F.col("before") + F.col("own")).alias("pos"))
+    return with_place(vocabulary.select("word", base.alias("base")), [F.col("base"), F.col("word")], "pos").select("word", "pos")
 
 
 def vocabulary_size(docs: DataFrame, text_col: str, by: list[str] | None = None) -> DataFrame:
     """The number of distinct words, of all documents or for each group."""
-    each = docs.select(*(by or []), F.explode(words(F.col(text_col))).alias("word"))
-    return each.groupBy(*(by or [])).agg(F.countDistinct("word").alias("words"))
+    if not by:
+        return vocabulary(docs, text_col).agg(F.count("*").alias("words"))
+    each = docs.select(*by, F.explode(words(F.col(text_col))).alias("word"))
+    return each.groupBy(*by).agg(F.countDistinct("word").alias("words"))
 
 
 def ends(vocabulary: DataFrame, first: int, last: int) -> DataFrame:

@@ -35,6 +35,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table whose texts are worked on."""
+    return flows.spread(_table(spark, sf_dir, name).select(*columns))
+
+
 # --- SQL for the steps that many queries share ---
 
 _LETTERS = r"[\p{L}\p{Mn}\x{2600}-\x{10FFFF}]+"
@@ -75,7 +80,7 @@ _POSITIONS = f"SELECT word, row_number() OVER (ORDER BY {_SQL_BASE}, word) AS po
 
 
 def _stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flows.strip_table(_table(spark, sf_dir, "pages"), "page_id", "html")
+    return flows.strip_table(_texts(spark, sf_dir, "pages", "page_id", "html"), "page_id", "html")
 
 
 # --- Cleaning and words ---
@@ -93,12 +98,12 @@ def page_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DOC_WORDS} SELECT doc_id, word FROM w")
 def doc_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.document_words(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return vocab.document_words(_texts(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
 
 
 @_query(f"SELECT DISTINCT conv_id, turn, unnest({_sql_words('text')}) AS word FROM conversations")
 def conversation_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word")).distinct()
+    return _texts(spark, sf_dir, "conversations", "conv_id", "turn", "text").select("conv_id", "turn", F.explode(words(F.col("text"))).alias("word")).distinct()
 
 
 @_query(f"SELECT item_id, unnest({_sql_words('text')}) AS word FROM benchmark")
@@ -108,32 +113,32 @@ def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"{_DOC_WORDS} SELECT doc_id, count(word) AS n_words FROM w GROUP BY doc_id")
 def doc_word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).where("n_words > 0")
+    return _texts(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.size(words(F.col("text"))).cast("long").alias("n_words")).where("n_words > 0")
 
 
 @_query(f"{_PAGE_WORDS} {_POSITIONS}")
 def vocabulary_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.with_positions(shared_folder.stored(vocab.vocabulary(_stripped(spark, sf_dir), "text"), "vocabulary"))
+    return vocab.with_positions(vocab.vocabulary(_stripped(spark, sf_dir), "text"))
 
 
 @_query(f"{_DOC_WORDS} {_POSITIONS}")
 def vocabulary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.with_positions(shared_folder.stored(vocab.vocabulary(_table(spark, sf_dir, "documents"), "text"), "vocabulary"))
+    return vocab.with_positions(vocab.vocabulary(_texts(spark, sf_dir, "documents", "text"), "text"))
 
 
 @_query(f"{_DOC_WORDS} SELECT count(DISTINCT word) AS words FROM w")
 def vocabulary_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vocabulary_size(_table(spark, sf_dir, "documents"), "text")
+    return vocab.vocabulary_size(_texts(spark, sf_dir, "documents", "text"), "text")
 
 
 @_query(f"{_DOC_WORDS} SELECT lang, count(DISTINCT word) AS words FROM w GROUP BY lang")
 def vocabulary_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vocabulary_size(_table(spark, sf_dir, "documents"), "text", ["lang"])
+    return vocab.vocabulary_size(_texts(spark, sf_dir, "documents", "lang", "text"), "text", ["lang"])
 
 
 @_query(f"{_DOC_WORDS} SELECT DISTINCT word, {_SQL_BASE} AS base FROM w")
 def sort_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocab.vocabulary(_table(spark, sf_dir, "documents"), "text").select("word", sort_base(F.col("word")).alias("base"))
+    return vocab.vocabulary(_texts(spark, sf_dir, "documents", "text"), "text").select("word", sort_base(F.col("word")).alias("base"))
 
 
 @_query(
@@ -150,7 +155,7 @@ def first_last_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT unnest({_sql_words('text')}) FROM conversations UNION ALL SELECT unnest({_sql_words('text')}) FROM benchmark)"""
 )
 def vocabulary_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = [_table(spark, sf_dir, t).select("text") for t in ("documents", "conversations", "benchmark")]
+    texts = [_texts(spark, sf_dir, t, "text") for t in ("documents", "conversations", "benchmark")]
     return vocab.vocabulary(texts[0].unionByName(texts[1]).unionByName(texts[2]), "text")
 
 
@@ -175,13 +180,56 @@ def corpus_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(page, "codec", "text", "empty", "error")
 
 
+def _written(spark: SparkSession, sf_dir: str, names: str, tag: str) -> str:
+    """A folder of files, one for each page, called as the SQL expression says."""
+    folder = shared_folder.local(shared_folder.fresh(spark, tag))
+    named = _texts(spark, sf_dir, "pages", "page_id", "html").select(F.expr(names).alias("name"), F.col("html").alias("text"))
+    sinks.write_texts(named, folder).where("error is not null").count()
+    return folder
+
+
+@_query(
+    """SELECT printf('%08d', page_id) || CASE WHEN page_id % 4 = 0 THEN '.html' ELSE '.HTM' END AS name, octet_length(encode(html)) AS bytes_read,
+    CAST(NULL AS VARCHAR) AS error FROM pages WHERE page_id % 4 < 2"""
+)
+def flat_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written under four suffixes, listed flat and opened: two of the suffixes count."""
+    names = "concat(format_string('%08d', page_id), element_at(array('.html', '.HTM', '.txt', '.xhtml'), cast(page_id % 4 + 1 as int)))"
+    opened = flows.open_files(spark, _written(spark, sf_dir, names, "flat"))
+    return opened.select(paths.base_name(F.col("path")).alias("name"), "bytes_read", "error")
+
+
+_MOST = 4000
+
+
+@_query(
+    f"""SELECT page_id, CASE WHEN size <= {_MOST} THEN size ELSE 0 END AS length, CASE WHEN size > {_MOST} THEN 'excede el limite (' || size || ' > {_MOST})' END AS error
+    FROM (SELECT page_id, octet_length(encode(html)) AS size FROM pages)"""
+)
+def read_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as files and read under a size limit: what is larger is a row with an error."""
+    folder = _written(spark, sf_dir, "format_string('%08d.xhtml', page_id)", "limited")
+    page = F.regexp_extract("path", r"([0-9]+)\.xhtml$", 1).cast("long").alias("page_id")
+    return flows.read_documents(spark, folder, max_bytes=_MOST).select(page, "length", "error")
+
+
+@_query(f"{_DOC_WORDS}, p AS ({_POSITIONS}) SELECT pos AS line_no, word AS line FROM p")
+def word_list_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sorted vocabulary written to one file, and its lines read back."""
+    path = shared_folder.local(shared_folder.fresh(spark, "words"))
+    sinks.write_lines(vocab.sorted_vocabulary(_texts(spark, sf_dir, "documents", "text"), "text"), "word", path)
+    return logs.read_lines(spark, f"file://{path}")
+
+
 # --- Paths, predicates, guards ---
 
-_URL_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+_URL_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') || CASE WHEN page_id % 3 = 0 THEN chr(10) ELSE '' END"
 
 
 def _url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    # Some end in a line break, which is no part of a suffix.
+    path = F.concat(path, F.when(F.col("page_id") % 3 == 0, F.lit("\n")).otherwise(F.lit("")))
     return _table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
 
 
@@ -203,12 +251,13 @@ def output_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_paths(spark, sf_dir).select("page_id", paths.output_name(path).alias("name"), paths.short_name(path, F.lit("/data/corpus")).alias("short"))
 
 
-@_query(
-    rf"""SELECT name, count(*) AS documents FROM (SELECT replace(regexp_replace({_URL_PATH}, '([^/.])\.[^./]*\z', '\1'), '/', '_') || '.txt' AS name FROM pages)
-    GROUP BY name HAVING count(*) > 1"""
-)
+@_query("SELECT name, count(*) AS documents FROM (SELECT 'd' || page_id % 7 || '_' || page_id % 10 || '.txt' AS name FROM pages) GROUP BY name HAVING count(*) > 1")
 def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.collisions(_url_paths(spark, sf_dir).select(paths.output_name(F.col("path")).alias("name")))
+    """Names that documents share: equal paths under other suffixes, and paths that differ only in a slash."""
+    between = F.when(F.col("page_id") % 2 == 0, F.lit("/")).otherwise(F.lit("_"))
+    suffix = F.when(F.col("page_id") % 3 == 0, F.lit(".htm")).otherwise(F.lit(".html"))
+    path = F.concat(F.lit("d"), F.col("page_id") % 7, between, F.col("page_id") % 10, suffix)
+    return sinks.collisions(_table(spark, sf_dir, "pages").select(paths.output_name(path).alias("name")))
 
 
 _LIMIT = 4000
@@ -225,10 +274,20 @@ def size_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query(f"SELECT doc_id, NOT regexp_matches(text, '{_LETTERS}') AS wordless, trim(text) = '' AS empty FROM documents")
+_BLANK = "CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN chr(9) || ' ' || chr(8195) || chr(10) WHEN 2 THEN '12 3.4 _' WHEN 3 THEN NULL ELSE text END"
+
+
+@_query(
+    f"""SELECT doc_id, coalesce(NOT regexp_matches(text, '{_LETTERS}'), true) AS wordless, coalesce(trim(replace(replace(text, chr(8195), ''), chr(9), ''), ' ' || chr(10)), '') = '' AS empty
+    FROM (SELECT doc_id, {_BLANK} AS text FROM documents)"""
+)
 def empty_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return _table(spark, sf_dir, "documents").select("doc_id", (F.size(words(text)) == 0).alias("wordless"), cleaning.is_empty(text).alias("empty"))
+    """Documents, four fifths of them replaced by texts that are empty, blank, without words or null."""
+    kind, text = F.col("doc_id") % 5, F.col("text")
+    docs = _texts(spark, sf_dir, "documents", "doc_id", "text").withColumn(
+        "text", F.when(kind == 0, "").when(kind == 1, "\t \u2003\n").when(kind == 2, "12 3.4 _").when(kind == 3, None).otherwise(text)
+    )
+    return docs.select("doc_id", F.coalesce(F.size(words(text)) <= 0, F.lit(True)).alias("wordless"), cleaning.is_empty(text).alias("empty"))
 
 
 def _limited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,6 +360,14 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select((F.col("page_id") + 1).alias("line_no"), line.alias("line"))
 
 
+@_query(f"WITH {_LOG} SELECT row_number() OVER (ORDER BY line_no) AS line_no, line FROM g")
+def log_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written to one file, and its lines read back."""
+    path = shared_folder.local(shared_folder.fresh(spark, "log"))
+    sinks.write_lines(_log(spark, sf_dir).orderBy("line_no"), "line", path)
+    return logs.read_lines(spark, f"file://{path}")
+
+
 @_query(f"WITH {_LOG} SELECT line_no, line FROM g ORDER BY line_no LIMIT 4")
 def head_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.head(_log(spark, sf_dir), 4)
@@ -325,6 +392,36 @@ def log_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.totals(lines)
 
 
+_SECONDS = "t AS (SELECT length(html) / 1e6 AS seconds, length(url) / 1e6 AS clean_seconds, CASE WHEN page_id % 3 > 0 THEN (page_id % 11) / 1e6 END AS word_seconds FROM pages)"
+
+
+def _staged_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds of three stages for each page, made of its lengths; some documents never reach the last."""
+    return _table(spark, sf_dir, "pages").select(
+        (F.length("html") / 1e6).alias("seconds"), (F.length("url") / 1e6).alias("clean_seconds"),
+        F.when(F.col("page_id") % 3 > 0, (F.col("page_id") % 11) / 1e6).alias("word_seconds"),
+    )
+
+
+@_query(f"WITH {_SECONDS} SELECT round(sum(seconds), 6) AS seconds, round(sum(clean_seconds), 6) AS clean_seconds, round(sum(word_seconds), 6) AS word_seconds FROM t")
+def stage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["seconds", "clean_seconds", "word_seconds"]
+    return reports.stage_seconds(_staged_seconds(spark, sf_dir), names).select(*(F.round(c, 6).alias(c) for c in names))
+
+
+@_query(
+    f"""WITH {_SECONDS}, r AS (SELECT round(sum(seconds), 6) AS a, round(sum(clean_seconds), 6) AS b, round(sum(word_seconds), 6) AS c FROM t)
+    SELECT round(a / b, 6) AS ratio, round(b + c, 6) AS together FROM r"""
+)
+def phase_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalars derived from the totals of a log, as its lines say them."""
+    sums = reports.stage_seconds(_staged_seconds(spark, sf_dir), ["seconds", "clean_seconds", "word_seconds"])
+    line = lambda k, name, c: F.struct(F.lit(k).alias("line_no"), F.concat(F.lit(f"  {name}: "), formats.seconds(F.col(c)), F.lit(" s")).alias("line"))
+    lines = sums.select(F.explode(F.array(line(1, "fase", "seconds"), line(2, "union", "clean_seconds"), line(3, "orden", "word_seconds"))).alias("x")).select("x.*")
+    out = reports.phase_scalars(logs.totals(lines, first_token=False), "fase", "union", ["union", "orden"])
+    return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
+
+
 _SQL_PAD = "path || repeat(' ', greatest(width - length(path), 0)) || '  '"
 
 
@@ -365,13 +462,25 @@ def text_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", cleaning.strip(F.substring("text", 1, 420)).alias("excerpt"))
 
 
+_CHARSETS = ["utf-8", "utf8", "latin1", "windows-1251", "x-other"]
+_SQL_CHARSET = "CASE page_id % 5 " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_CHARSETS)) + " END"
+
+
 @_query(
-    """SELECT page_id, lower(regexp_extract(html, '(?i)<meta[^>]*?charset="?([a-z0-9-]+)', 1)) AS declared, 'utf-8' AS codec, 'meta charset=utf-8' AS reason FROM pages"""
+    f"""WITH d AS (SELECT page_id, {_SQL_CHARSET} AS declared, page_id % 5 = 4 AND regexp_matches(html, '[^\\x00-\\x7f]') AS single FROM pages)
+    SELECT page_id, declared, CASE WHEN declared = 'latin1' OR single THEN 'cp1252' ELSE 'utf-8' END AS codec, CASE WHEN page_id % 5 < 3 THEN 'meta charset=' || declared
+    ELSE 'meta ' || chr(39) || declared || chr(39) || ' rechazado -> ' || CASE WHEN single THEN 'cp1252' ELSE 'utf-8' END END AS reason FROM d"""
 )
 def page_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.col("html").cast("binary")
-    found = decoding.detect(content)
-    return _table(spark, sf_dir, "pages").select("page_id", decoding.declared_charset(content).alias("declared"), found["codec"].alias("codec"), found["reason"].alias("reason"))
+    """Pages that declare a known name, an alias or an unknown one; some of the last in single bytes."""
+    names = F.element_at(F.array(*map(F.lit, _CHARSETS)), (F.col("page_id") % 5 + 1).cast("int"))
+    html = F.regexp_replace("html", F.lit('charset="?utf-8'), F.concat(F.lit('charset="'), names))
+    pages = _texts(spark, sf_dir, "pages", "page_id", "html").withColumn("html", html)
+    content = F.when(F.col("page_id") % 5 == 4, F.encode("html", "ISO-8859-1")).otherwise(F.col("html").cast("binary"))
+    found = decoding.detect(F.col("content"))
+    return pages.select("page_id", content.alias("content")).select(
+        "page_id", decoding.declared_charset(F.col("content")).alias("declared"), found["codec"].alias("codec"), found["reason"].alias("reason")
+    )
 
 
 # --- Literal rows, their results derived by hand from the rules ---

@@ -8,8 +8,9 @@ Options: ``recursive`` (false: the files in the folder itself, .html and .htm;
 true: all below it that end so or in .xhtml, symbolic links to folders not
 followed), ``maxBytes``, ``confine`` (true: files outside the folder are
 errors), ``follow`` (true: symbolic links to files are read), ``content``
-(false: only lengths) and ``partitions``. Executors read the files, so the
-folder must be on storage that they all see.
+(false: only lengths), ``partitions`` and ``heldBytes`` (what a task holds of
+files before it hands them on). Executors read the files, so the folder must
+be on storage that they all see.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ import re
 import stat
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path string, length bigint, content binary, seconds double, error string"
 MAX_BYTES = 20 * 1024 * 1024
 _CHUNK = 1 << 20
+HELD_BYTES = 8 << 20
 _FLAT, _DEEP = re.compile(r".+\.html?\Z", re.I | re.S), re.compile(r".*\.(?:html?|xhtml)\Z", re.I | re.S)
 
 
@@ -48,12 +52,43 @@ def list_flat(folder: str) -> list[str]:
     return found
 
 
+def _entries(folder: str) -> tuple[list[str], list[tuple[int, str]]]:
+    """Folders in a folder, without links, and the size and path of its HTML files; both empty if it can't be read."""
+    below, files = [], []
+    try:
+        with os.scandir(folder) as entries:
+            for e in entries:
+                if e.is_dir(follow_symlinks=False):
+                    below.append(e.path)
+                elif _DEEP.match(e.name) and not e.is_dir():
+                    try:
+                        files.append((e.stat().st_size, e.path))
+                    except OSError:
+                        files.append((0, e.path))
+    except OSError:
+        pass
+    return below, files
+
+
+def sizes_deep(folder: str, threads: int = 16) -> list[tuple[int, str]]:
+    """Size and path of the HTML files below a folder; its folders are listed side by side, links to folders aren't followed."""
+    found, level = [], [folder]
+    with ThreadPoolExecutor(threads) as pool:
+        while level:
+            listed = list(pool.map(_entries, level))
+            found += [f for _, files in listed for f in files]
+            level = [b for below, _ in listed for b in below]
+    return found
+
+
 def list_deep(folder: str) -> list[str]:
-    """The HTML files below a folder, sorted by path; links to folders aren't followed."""
-    found = []
-    for top, _, names in os.walk(folder):
-        found += [os.path.join(top, n) for n in names if _DEEP.match(n)]
-    return sorted(found)
+    """The HTML files below a folder, sorted by path."""
+    return sorted(path for _, path in sizes_deep(folder))
+
+
+def too_large(size, max_bytes: int):
+    """The error of a file of more than max_bytes, for a column of sizes."""
+    return F.concat(F.lit("excede el limite ("), size.cast("string"), F.lit(f" > {max_bytes})"))
 
 
 def read_file(path: str, root: str | None, max_bytes: int, follow: bool) -> tuple[bytes | None, str | None]:
@@ -103,6 +138,13 @@ def _message(e: OSError) -> str:
     return _MESSAGES.get(name) or f"error de E/S ({e.errno}): {e.strerror}"
 
 
+def _size(path: str) -> int:
+    try:
+        return os.stat(path).st_size
+    except OSError:
+        return 0
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         super().__init__(None)
@@ -130,20 +172,17 @@ class _Reader(DataSourceReader):
         self.confine, self.follow = flag("confine", "false"), flag("follow", "false")
         self.max_bytes = int(options.get("maxbytes", options.get("maxBytes", MAX_BYTES)))
         self.count = int(options.get("partitions", 0))
+        self.held = int(options.get("heldbytes", options.get("heldBytes", HELD_BYTES)))
 
     def partitions(self) -> list[_Files]:
-        paths = (list_deep if self.recursive else list_flat)(self.folder)
-        sizes = []
-        for p in paths:
-            try:
-                sizes.append((os.stat(p).st_size, p))
-            except OSError:
-                sizes.append((0, p))
+        sizes = sizes_deep(self.folder) if self.recursive else [(_size(p), p) for p in list_flat(self.folder)]
         # About 16 MB or a thousand files to a task, unless told otherwise.
         count = self.count or max(8, sum(s for s, _ in sizes) >> 24, len(sizes) // 1000)
         return [_Files(x) for x in deal(sizes, max(1, min(count, len(sizes))))]
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: _Files | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there are no files
+            return
         schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", pa.binary()), ("seconds", pa.float64()), ("error", pa.string())])
         rows: list[tuple] = []
         held = 0
@@ -153,7 +192,7 @@ class _Reader(DataSourceReader):
             took = time.perf_counter() - start
             rows.append((path, len(content or b""), content if self.content else None, took, error))
             held += len(content or b"")
-            if held > 8 * _CHUNK or len(rows) >= 1000:
+            if held > self.held or len(rows) >= 1000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
                 rows, held = [], 0
         if rows:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.plans import shared_folder
+
 
 def collisions(named: DataFrame) -> DataFrame:
     """Output names that several documents share, with how many do."""
@@ -41,20 +44,25 @@ def write_texts(named: DataFrame, folder: str) -> DataFrame:
     return named.select("name", "text").mapInArrow(write, "name string, error string")
 
 
-def write_word_parts(vocabulary: DataFrame, folder: str) -> None:
-    """A sorted vocabulary as text files that in turn are the list; for lists of any size."""
-    vocabulary.select("word").write.mode("overwrite").text(folder)
+def write_parts(lines: DataFrame, column: str, folder: str) -> None:
+    """An ordered column as text files that in turn are its values, each a line; for lists of any size."""
+    lines.select(column).write.mode("overwrite").text(folder)
 
 
 def write_lines(lines: DataFrame, column: str, path: str) -> int:
-    """An ordered column as one local UTF-8 file, each value a line; how many there were.
+    """An ordered column as one local UTF-8 file, each value a line; how many lines it has.
 
-    Rows stream through the driver a partition at a time, which holds no more
-    than the largest of them.
+    Executors write the parts to the shared folder; the driver only appends
+    their bytes to one another.
     """
-    count = 0
-    with open(path, "w", encoding="utf-8", newline="") as f:
-        for row in lines.select(column).toLocalIterator(prefetchPartitions=True):
-            f.write(f"{row[0]}\n")
-            count += 1
+    folder = shared_folder.fresh(lines.sparkSession, "lines")
+    write_parts(lines, column, folder)
+    parts, count = shared_folder.local(folder), 0
+    with open(path, "wb") as out:
+        for name in sorted((n for n in os.listdir(parts) if n.startswith("part-")), key=lambda n: int(n.split("-")[1])):
+            with open(os.path.join(parts, name), "rb") as part:
+                while chunk := part.read(1 << 20):
+                    count += chunk.count(b"\n")
+                    out.write(chunk)
+    shutil.rmtree(parts, ignore_errors=True)
     return count

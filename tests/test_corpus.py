@@ -131,4 +131,57 @@ def test_plans_push_down(spark, tmp_path):
     from parchwork.operators.vocabulary import vocabulary
 
     plan = vocabulary(spark.read.parquet(str(tmp_path / "t")), "text")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    assert "ReadSchema: struct<text:string>" in plan and "Python" not in plan
+    # Words are made distinct by each task, in Python, before the only exchange.
+    assert "ReadSchema: struct<text:string>" in plan and plan.count("Exchange hashpartitioning") <= 1 and "MapInArrow" in plan
+
+
+def test_a_document_that_takes_too_long(spark, corpus, monkeypatch):
+    import time
+
+    from parchwork.functions.overtime import Overtime, time_limit
+
+    with time_limit(0.05) as limited:
+        with pytest.raises(Overtime, match="excedio 0.05s"), limited():
+            time.sleep(2)
+        with limited():
+            pass
+    with time_limit(None) as limited, limited():
+        pass
+    slow = spark.createDataFrame([("/a.html", bytearray(b"<script>" * 40_000), None), ("/b.html", bytearray(b"<p>b"), None)], "path string, content binary, error string")
+    rows = {r.path: r for r in flows.document_words(flows.strip_bytes(slow, 0.2), 0.2).collect()}
+    assert rows["/a.html"].error == "excedio 0.2s" and rows["/a.html"].text is None and rows["/a.html"].words is None
+    assert rows["/b.html"].error is None and rows["/b.html"].words == ["b"] and rows["/b.html"].clean_seconds < 0.2
+
+
+def test_lines_of_a_file_in_many_blocks(spark, tmp_path):
+    path = tmp_path / "lines.txt"
+    want = [f"line {k} " + "x" * (k % 50) for k in range(20_000)]
+    path.write_text("\n".join(want) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        from parchwork.operators import logs
+
+        lines = logs.read_lines(spark, str(path))
+        assert lines.rdd.getNumPartitions() > 3 and [r.line for r in sorted(lines.collect())] == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_every_failure_is_printed(spark, tmp_path, capsys):
+    root = tmp_path / "many"
+    root.mkdir()
+    for k in range(30):
+        (root / f"{k:02d}.html").write_text("x" * 3000)
+    assert cli.main(["strip", str(root), "--salida", str(tmp_path / "o"), "--tiempos", str(tmp_path / "t"), "--limite-mb", "0.001"]) == 1
+    assert capsys.readouterr().err.count("excede el limite") == 30
+    report = (tmp_path / "t").read_text()
+    assert "archivos con error: 30" in report and "limpieza pura (suma de CPU): " in report and report.count("ERROR  (") == 30
+
+
+def test_places_over_many_partitions(spark):
+    from parchwork.operators.ranks import with_place
+
+    rows = [(k * 7919 % 5000, "x") for k in range(5000)]
+    placed = with_place(spark.createDataFrame(rows, "k long, y string").repartition(6), [F.desc("k")], "pos")
+    assert sorted((r.pos, r.k) for r in placed.collect()) == [(k + 1, 4999 - k) for k in range(5000)]
+    assert with_place(spark.createDataFrame([], "k long"), [F.col("k")], "pos").collect() == []

@@ -104,7 +104,7 @@ def test_order(spark):
 
 
 @pytest.mark.parametrize(
-    "path, html, markup", [("a/x.html", True, True), ("a/P.HTM", True, True), ("x.xhtml", False, True), ("a/.html", False, True), ("x.txt", False, False), ("html", False, False)]
+    "path, html, markup", [("a/x.html", True, True), ("a/P.HTM", True, True), ("x.xhtml", False, True), ("a/.html", False, True), ("x.txt", False, False), ("html", False, False), ("a.html\n", False, False)]
 )
 def test_suffixes(spark, path, html, markup):
     assert (one(spark, paths.is_html, path), one(spark, paths.is_markup, path)) == (html, markup)
