@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.cells import by_cell
 from parchwork.llm.components import components
 from parchwork.llm.scratch import stash
 
@@ -161,7 +162,7 @@ def near_duplicate_vectors(
     cell = ["size", "t", "key", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, groups in _by_cell(batches, cell):
+        for rows, groups in by_cell(batches, cell):
             ids, n, mine, t, low, high = (rows.column(c).to_numpy() for c in ("class", "n", "mine", "t", "low", "high"))
             out: tuple = ([], [], [])
             size = rows.column("size").to_numpy()
@@ -211,32 +212,3 @@ def near_duplicate_vectors(
     rest = rows.where("not ok").select("row", "id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = ties.unionByName(rest)
     return out.select(F.col("id").cast(vectors.schema[id_col].dataType).alias(id_col), "n_links", "component_id", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))
-
-
-def _by_cell(batches: Iterator[pa.RecordBatch], cell: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
-    """Tables of whole groups from sorted batches, and where each group begins and ends."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        same = np.ones(batch.num_rows - 1, bool)
-        columns = [batch.column(c).to_numpy() for c in cell]
-        for c in columns:
-            same &= c[1:] == c[:-1]
-        breaks = np.flatnonzero(~same) + 1
-        continues = bool(held) and all(held[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in cell)
-        if held and not continues:
-            whole = pa.Table.from_batches(held)
-            yield whole, [(0, whole.num_rows)]
-            held = []
-        if not len(breaks):
-            held.append(batch)
-            continue
-        head = pa.Table.from_batches([*held, batch.slice(0, breaks[-1])])
-        shift = head.num_rows - int(breaks[-1])
-        edges = [0, *(breaks + shift).tolist()]
-        yield head, list(zip(edges[:-1], edges[1:]))
-        held = [batch.slice(breaks[-1])]
-    if held:
-        whole = pa.Table.from_batches(held)
-        yield whole, [(0, whole.num_rows)]

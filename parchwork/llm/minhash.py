@@ -8,16 +8,14 @@ random order assigns (optimal densification). Bins are banded into buckets.
 
 1. Texts with equal sets are one class, represented by its least id.
 2. In every bucket each class is joined to one centre, a star: a bucket of n
-   classes gives n - 1 edges. Components of all stars are candidate groups;
-   two classes that share any bucket are in the same one.
-3. A candidate group of bounded size is confirmed in one task, which finds
-   all links on full sets (prefix filter, then exact intersections) and its
-   linked components.
-4. Larger groups go on in rounds: star edges are confirmed one by one, each
-   bucket lets go of its centre, buckets whose classes are already linked
-   vanish, and what then is a group of bounded size is confirmed as in 3. A
-   bucket's centre is of its rarest component, so that a few strangers among
-   many copies are compared with all of them first.
+   classes gives n - 1 candidate edges. The sets of all classes on an edge are
+   made once; edges are confirmed on them, those of a centre in cells of
+   bounded size, each of which holds the centre once.
+3. Confirmed edges give components. A bucket whose classes, but for its
+   centre, lie in several of them may hold links that no star has shown. Its
+   commonest component needs no comparison within itself; all other classes
+   are dealt into blocks, and pairs of blocks are compared, each in a cell of
+   bounded size, leaving out what is connected already.
 
 With ``rows`` bins in each of ``bands`` bands a pair of similarity s shares a
 bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at s = 0.75.
@@ -25,22 +23,23 @@ bucket with probability 1 - (1 - s**rows)**bands: over 0.99999 at s = 0.75.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.cells import by_cell as _by_cell
 from parchwork.llm.components import components
-from parchwork.llm.scratch import discard, stash
+from parchwork.llm.scratch import stash
 from parchwork.llm.workers import shared
 
 WIDTH = 5
 BANDS, ROWS = 32, 4
-#: A candidate group of so many classes and shingles at most is confirmed in one task (about 200 MB).
-GROUP_CLASSES, GROUP_SHINGLES = 20_000, 4_000_000
+#: A block holds about so many classes and shingles (4 MB); a cell holds two.
+BLOCK_CLASSES, BLOCK_SHINGLES = 256, 500_000
 _CAPACITY = 500_000
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,14 +131,16 @@ def similar(common: np.ndarray, a: np.ndarray | int, b: np.ndarray | int) -> np.
     return 100 * common >= 75 * (a + b - common)
 
 
-def linked(sets: list[np.ndarray]) -> np.ndarray:
-    """For each set, the least index of a set that it reaches by links; exact.
+def linked(sets: list[np.ndarray], known: np.ndarray | None = None, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of indices of sets that are links, enough to connect what all links connect; exact.
 
-    Two sets of similarity 0.75 share a member among the rarest quarter of
-    each, so only sets that do are compared, and none that are connected yet.
+    Sets of one number in ``known`` are connected already; with ``side`` only
+    sets of different sides are compared. Two sets of similarity 0.75 share a
+    member among the rarest quarter of each, so only sets that do are compared,
+    and none that are connected yet.
     """
     count = len(sets)
-    labels = np.arange(count)
+    labels = np.arange(count) if known is None else np.unique(known, return_inverse=True)[1]
     sizes = np.fromiter(map(len, sets), np.int64, count)
     members = np.concatenate(sets)
     owner = np.repeat(np.arange(count), sizes)
@@ -159,110 +160,113 @@ def linked(sets: list[np.ndarray]) -> np.ndarray:
     own_from = np.searchsorted(owner[ahead], np.arange(count + 1))
     own = ranked[ahead]
     mark = np.zeros(len(often), bool)
+    out: list[tuple[int, int]] = []
     for x in range(count):
         keys = own[own_from[x] : own_from[x + 1]]
         if not len(keys):
             continue
         low, high = np.searchsorted(posted, keys), np.searchsorted(posted, keys, "right")
-        found = np.concatenate([poster[a:b] for a, b in zip(low, high)])
+        found = np.unique(np.concatenate([poster[a:b] for a, b in zip(low, high)]))
         found = found[(found > x) & (labels[found] != labels[x])]
-        found = np.unique(found)
+        if side is not None:
+            found = found[side[found] != side[x]]
         found = found[(4 * sizes[found] >= 3 * sizes[x]) & (3 * sizes[found] <= 4 * sizes[x])]
         if not len(found):
             continue
         mine = ranked[begin[x] : begin[x + 1]]
         mark[mine] = True
-        spread = np.repeat(begin[found] - np.concatenate([[0], np.cumsum(sizes[found])[:-1]]), sizes[found]) + np.arange(sizes[found].sum())
-        common = np.add.reduceat(mark[ranked[spread]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[found])[:-1]]))
+        starts = np.concatenate([[0], np.cumsum(sizes[found])[:-1]])
+        spread = np.repeat(begin[found] - starts, sizes[found]) + np.arange(sizes[found].sum())
+        common = np.add.reduceat(mark[ranked[spread]].astype(np.int64), starts)
         mark[mine] = False
         near = found[similar(common, sizes[found], sizes[x])]
         if len(near):
-            joined = np.unique(np.append(labels[near], labels[x]))
-            labels[np.isin(labels, joined)] = joined[0]
-    return labels
-
+            joined = np.unique(labels[near], return_index=True)[1]  # one link to each component
+            out += [(x, int(y)) for y in near[joined]]
+            labels[np.isin(labels, labels[near])] = labels[x]
+    return out
 
-def _confirmed(members: DataFrame) -> DataFrame:
-    """a, b: links that connect the classes of each group in members (group, id, set, text) as all links do."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shared(("shingles",), Shingler)
+def _members(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, set, shingles (sorted hashes, binary) of the classes in ids (id, set), from the documents (id, text) so called.
 
-        def edges(group: dict) -> tuple[list, list]:
-            classes = sorted(group)
-            least = linked([group[c] for c in classes])
-            return [classes[k][0] for k in least], [c[0] for c in classes]
+    An id may stand for other texts as well, whose sets are others; of copies
+    each task gives one.
+    """
 
-        group, now, out = {}, None, ([], [])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = shared(("shingles",), Shingler), set()
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("group", "id", "set", "text")]
-            for key, id_, digest, text in zip(*columns):
-                if key != now:
-                    if len(group) > 1:
-                        for got, more in zip(out, edges(group)):
-                            got += more
-                    group, now = {}, key
-                if (id_, digest) not in group:
-                    own = shingler.shingles(text)
-                    if xxhash.xxh3_128_digest(own.tobytes()) == digest:  # an id may also stand for other texts
-                        group[id_, digest] = own
-            if len(out[0]) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-                out = ([], [])
-        if len(group) > 1:
-            for got, more in zip(out, edges(group)):
-                got += more
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
-
-    dealt = members.repartition("group").sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "a long, b long").where("a < b")
-
-
-def _texts(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """ids (with id) and the texts of the documents so called."""
-    return ids.join(docs, "id")
-
-
-def _stars(rows: DataFrame, salt: int = 0, rarest: bool = False) -> DataFrame:
-    """bucket, centre, id for the rows (bucket, id) of buckets with more than one class; a centre of the rarest component, if asked for."""
-    # The exclusive or keeps nodes apart and lets each round take another centre.
-    key = F.lit(salt).cast("long")
-    each = rows.groupBy("bucket", *(["component"] if rarest else [])).agg(F.min(F.col("id").bitwiseXOR(key)).alias("centre"), F.count("*").alias("all"))
-    if rarest:
-        each = each.groupBy("bucket").agg(F.min(F.struct("all", "centre"))["centre"].alias("centre"), F.sum("all").alias("all"))
-    centres = each.where("all > 1")
+            for at in range(0, batch.num_rows, 256):
+                part, out = batch.slice(at, 256), ([], [], [])
+                for id_, digest, text in zip(part.column("id").to_pylist(), part.column("set").to_pylist(), part.column("text")):
+                    if (id_, digest) not in seen:
+                        own = shingler.shingles(text.as_py()).tobytes()
+                        if xxhash.xxh3_128_digest(own) == digest:
+                            seen.add((id_, digest))
+                            for column, value in zip(out, (id_, digest, own)):
+                                column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], ["id", "set", "shingles"])
+
+    return ids.join(docs, "id").select("id", "set", "text").mapInArrow(run, "id long, set binary, shingles binary")
+
+
+def _stars(rows: DataFrame) -> DataFrame:
+    """bucket, centre, id for the rows (bucket, id) of buckets with more than one class; the centre is the least id."""
+    centres = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("all")).where("all > 1")
     # Read from a table, the centres are exchanged anew for the join, so that a bucket with very many rows can be split.
-    centres = stash(centres.select("bucket", F.col("centre").bitwiseXOR(key).alias("centre")), "centres")
+    centres = stash(centres.select("bucket", "centre"), "centres")
     return rows.join(centres, "bucket").where("id != centre").select("bucket", "centre", "id")
 
 
-def _pairs_confirmed(edges: DataFrame, own: DataFrame) -> DataFrame:
-    """a, b of the edges (centre, id) that are links, each confirmed by itself on the texts in own (id, set, text).
+def _blocks(classes: Column, shingles: Column, block_classes: int, block_shingles: int) -> Column:
+    """How many blocks so many classes and shingles take."""
+    return F.greatest(F.lit(1), F.ceil(classes / block_classes), F.ceil(shingles / block_shingles)).cast("int")
 
-    own is a stored table, so both sides of the join by centre are exchanged
-    for it, and the rows of a centre with very many edges can be split.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = shared(("shingles",), Shingler)
-        for batch in batches:
-            a, b = [], []
-            for x, y, dx, dy, tx, ty in zip(*(batch.column(c).to_pylist() for c in ("centre", "id", "set_a", "set", "text_a", "text"))):
-                sx, sy = shingler.shingles(tx), shingler.shingles(ty)
-                if xxhash.xxh3_128_digest(sx.tobytes()) == dx and xxhash.xxh3_128_digest(sy.tobytes()) == dy:
-                    common = len(np.intersect1d(sx, sy, assume_unique=True))
-                    if similar(common, len(sx), len(sy)):
-                        a.append(x)
-                        b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _dealt(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64("id", "set"), blocks).cast("int")
+
+
+def _compared(cells: DataFrame, keys: list[str], run: Callable) -> DataFrame:
+    """a, b of the links that run(rows of a cell) gives, for cells of rows (keys, id, set, shingles, label, side)."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, groups in _by_cell(batches, keys):
+            found = []
+            for begin, end in groups:
+                if end - begin > 1:
+                    own = table.slice(begin, end - begin)
+                    ids, label, side = (own.column(c).to_numpy() for c in ("id", "label", "side"))
+                    once = list({(id_, digest, s): k for k, (id_, digest, s) in enumerate(zip(ids.tolist(), own.column("set").to_pylist(), side.tolist()))}.values())
+                    sets = [np.frombuffer(own.column("shingles")[k].as_py(), np.uint64) for k in once]
+                    found += [(ids[once[x]], ids[once[y]]) for x, y in run(sets, label[once], side[once])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+    sorted_ = cells.repartition(*keys).sortWithinPartitions(*keys)
+    return sorted_.mapInArrow(each, "a long, b long").where("a != b")
+
+
+def _with_centre(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of side 0, the centre's, and of side 1."""
+    out = []
+    for x in np.flatnonzero(side == 0):
+        out += [
+            (x, y) for y in np.flatnonzero(side == 1)
+            if 4 * min(len(sets[x]), len(sets[y])) >= 3 * max(len(sets[x]), len(sets[y]))
+            and similar(len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]), len(sets[y]))
+        ]
+    return out
+
 
-    heads = own.select(F.col("id").alias("centre"), F.col("set").alias("set_a"), F.col("text").alias("text_a"))
-    return edges.join(own, "id").join(heads, "centre").select("centre", "id", "set_a", "set", "text_a", "text").mapInArrow(run, "a long, b long")
+def _between_blocks(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what isn't yet; between the two blocks of a cell, or within its only one."""
+    return linked(sets, label, side if side.any() else None)
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    group_classes: int = GROUP_CLASSES, group_shingles: int = GROUP_SHINGLES) -> DataFrame:
+                    block_classes: int = BLOCK_CLASSES, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, kept.
 
     Rows link when their sets' intersection is at least 0.75 of their union;
@@ -274,43 +278,48 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     component_id is null, kept true. Other columns are ignored; an empty table
     gives an empty result; texts of any length are compared whole.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     sets = stash(signed(docs, id_col, text_col), "sets")
     named = sets.where("set is not null and id is not null")
     classes = stash(
         named.groupBy("set").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("buckets").alias("buckets")), "classes"
     )
-    rows = classes.select(F.explode("buckets").alias("bucket"), "id", F.lit(0).cast("long").alias("component"))
-    stars = stash(_stars(rows).select("centre", "id"), "stars")
-    groups = stash(components(stars.select(F.col("centre").alias("a"), F.col("id").alias("b"))), "groups")
-
-    texts_named = texts.where("id is not null")
-    links: list[DataFrame] = []
-    k = 0
-    while True:
-        measured = groups.join(classes.select(F.col("id").alias("node"), "n"), "node").groupBy("component").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
-        measured = stash(measured.withColumn("large", (F.col("many") > group_classes) | (F.col("all") > group_shingles)), "measured")
-        small = groups.join(measured.where("not large"), "component").select(F.col("component").alias("group"), F.col("node").alias("id"))
-        members = small.join(classes.select("id", "set"), "id")
-        links.append(stash(_confirmed(_texts(members, texts_named)), "links"))
-        large = measured.where("large")
-        if large.isEmpty():
-            break
-        # Rows of buckets in large groups; a round confirms every bucket's star and lets its centre go.
-        inside = stash(groups.join(large.select("component"), "component").select(F.col("node").alias("id")), "inside")
-        rows = stash(rows.join(inside, "id", "left_semi").select("bucket", "id", "component"), "rows")
-        k += 1
-        star = stash(_stars(rows, 0x5851F42D4C957F2D * k % (1 << 62), rarest=True), "stars")
-        chosen = star.select("centre", "id").distinct()
-        own = stash(_texts(classes.select("id", "set").join(inside, "id", "left_semi"), texts_named), "texts")
-        links.append(stash(_pairs_confirmed(chosen, own), "links"))
-        discard(own)
-        joined = components(_every(links))
-        rest = star.select("bucket", "id").join(joined.select(F.col("node").alias("id"), "component"), "id", "left")
-        rest = stash(rest.withColumn("component", F.coalesce("component", "id")), "rest")
-        open_ = rest.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most")
-        rows = stash(rest.join(stash(open_.select("bucket"), "open"), "bucket", "left_semi").select("bucket", "id", "component"), "rows")
-        groups = stash(components(_stars(rows).select(F.col("centre").alias("a"), F.col("id").alias("b"))), "groups")
+    rows = classes.select(F.explode("buckets").alias("bucket"), "id", "set", "n")
+    stars = stash(_stars(rows.select("bucket", "id")), "stars")
+    edges = stash(stars.select("centre", "id").distinct(), "edges")
+    on_edge = edges.select("centre").union(edges.select("id")).distinct().withColumnRenamed("centre", "id")
+    members = stash(_members(classes.select("id", "set").join(on_edge, "id", "left_semi"), texts), "members")
+    blocks = lambda classes_, shingles: _blocks(classes_, shingles, block_classes, block_shingles)
+
+    # Each edge once, those of a centre in cells that hold the centre too.
+    sizes = classes.groupBy("id").agg(F.sum("n").alias("n"))
+    parts = edges.join(sizes, "id").groupBy("centre").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
+    parts = stash(parts.select("centre", blocks(F.col("many"), F.col("all")).alias("parts")), "parts")
+    label = F.col("id").alias("label")
+    ends = edges.join(parts, "centre").join(members, "id").select("centre", _dealt(F.col("parts")).alias("part"), "id", "set", "shingles", label, F.lit(1).alias("side"))
+    heads = parts.select(F.col("centre").alias("id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(members, "id")
+    heads = heads.select(F.col("id").alias("centre"), "part", "id", "set", "shingles", label, F.lit(0).alias("side"))
+    links = [stash(_compared(ends.unionByName(heads), ["centre", "part"], _with_centre), "links")]
+
+    # What stars can't tell: classes of a bucket, its centre aside, in several components.
+    joined = stash(components(links[0]), "joined").select(F.col("node").alias("id"), "component")
+    labelled = stars.select("bucket", "id").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    by_component = labelled.join(sizes, "id").groupBy("bucket", "component").agg(F.count("*").alias("many"), F.sum("n").alias("all"))
+    open_ = by_component.groupBy("bucket").agg(
+        F.count("*").alias("components"), F.sum("many").alias("many"), F.sum("all").alias("all"),
+        F.max(F.struct("many", "component", "all")).alias("top"),
+    ).where("components > 1")
+    one = blocks(F.col("many"), F.col("all"))
+    # Small buckets are one block; in others the commonest component's classes are blocks behind those of the rest.
+    minor, major = blocks(F.col("many") - F.col("top.many"), F.col("all") - F.col("top.all")), blocks(F.col("top.many"), F.col("top.all"))
+    open_ = stash(open_.select("bucket", F.col("top.component").alias("top"), F.when(one == 1, 1).otherwise(minor).alias("minor"), F.when(one == 1, 0).otherwise(major).alias("major")), "open")
+    common = (F.col("component") == F.col("top")) & (F.col("major") > 0)
+    own = F.when(common, F.col("minor") + _dealt(F.greatest(F.col("major"), F.lit(1)))).otherwise(_dealt(F.col("minor")))
+    in_open = labelled.join(open_, "bucket").join(classes.select("id", "set"), "id").withColumn("own", own)
+    other = F.explode(F.sequence(F.lit(0), F.when(common, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1))
+    in_open = in_open.withColumn("other", other).select("bucket", "id", "set", F.col("component").alias("label"), "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    cells = in_open.join(members, ["id", "set"]).select("bucket", "low", "high", "id", "set", "shingles", "label", (F.col("own") != F.col("low")).cast("int").alias("side"))
+    links.append(stash(_compared(cells, ["bucket", "low", "high"], _between_blocks), "links"))
 
     # Ids that stand for several sets tie the classes of those sets together.
     several = named.groupBy("id").agg(F.min("set").alias("x"), F.max("set").alias("y")).where("x != y").select("id")

@@ -26,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchwork.llm.hyperplane import _by_cell, _stack, usable
+from parchwork.llm.cells import by_cell
+from parchwork.llm.hyperplane import _stack, usable
 from parchwork.llm.scratch import stash
 
 WORD = 16
@@ -202,7 +203,7 @@ def search(
     cells = held.unionByName(asks).repartition("shard", "block").sortWithinPartitions("shard", "block")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, groups in _by_cell(batches, ["shard", "block"]):
+        for table, groups in by_cell(batches, ["shard", "block"]):
             for a, b in groups:
                 part = table.slice(a, b - a)
                 asks = part.column("asks").to_numpy()

@@ -156,12 +156,12 @@ def near_copies(seed, count=160):
     return texts + ["One two THREE four", "one TWO three\tfour", None, "", " "]
 
 
-@pytest.mark.parametrize("bound", [5_000, 3])
+@pytest.mark.parametrize("bound", [5_000, 16, 2])
 def test_near_duplicates_equal_brute_force(spark, bound):
     texts = near_copies(1)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     sets, least = brute_components(texts)
-    got = {r.doc_id: r for r in minhash.near_duplicates(df, group_classes=bound).collect()}
+    got = {r.doc_id: r for r in minhash.near_duplicates(df, block_classes=bound).collect()}
     assert [got[k].n_shingles for k in range(len(texts))] == list(map(len, sets))
     assert [got[k].component_id for k in range(len(texts))] == least
     assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
@@ -171,7 +171,7 @@ def test_a_large_group_of_copies(spark):
     base = [f"w{k}" for k in range(80)]
     texts = [" ".join(base)] * 50 + [" ".join(base[:k] + ["x"] + base[k + 1 :]) for k in range(80)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r.component_id for r in minhash.near_duplicates(df, group_classes=10).collect()} == {0}
+    assert {r.component_id for r in minhash.near_duplicates(df, block_classes=10).collect()} == {0}
 
 
 def test_near_duplicates_of_awkward_rows(spark):
@@ -190,7 +190,28 @@ def test_exact_links_within_a_group():
     texts = [t for t in near_copies(5, 300) if t and t.strip()]
     _, least = brute_components(texts)
     shingler = minhash.Shingler()
-    assert minhash.linked([shingler.shingles(t) for t in texts]).tolist() == least
+    reached = list(range(len(texts)))
+    for x, y in minhash.linked([shingler.shingles(t) for t in texts]):
+        old, new = max(reached[x], reached[y]), min(reached[x], reached[y])
+        reached = [new if z == old else z for z in reached]
+    assert reached == least
+
+
+def test_strangers_that_share_buckets(spark):
+    """Most of each text is common to all, so that many share a bucket and few are links."""
+    rng = random.Random(4)
+    shared = " ".join(f"s{k}" for k in range(60))
+    texts = []
+    for k in range(150):
+        tail = [f"t{k % 40}_{j}" for j in range(20)]
+        tail[rng.randrange(20)] = f"x{k}"
+        texts.append(" ".join([shared, *tail]))
+    sets, least = brute_components(texts)
+    assert 3 < len(set(least)) < 148
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bound in (5_000, 7):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(df, block_classes=bound).collect()}
+        assert [got[k] for k in range(len(texts))] == least
 
 
 # --- secrets ---

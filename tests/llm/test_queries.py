@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from parchwork.llm import catalogue, scratch
+from parchwork.llm import catalogue, minhash, scratch
 from tests.llm import helpers
 from tests.test_queries import rows
 
@@ -85,3 +85,22 @@ def test_pipeline_over_the_table(spark, sf_dir):
     assert pieces.where("length(ids) != 4 * length or length <= 0").count() == 0
     full = pieces.groupBy("sequence_id").sum("length").where("`sum(length)` != 4096").count()
     assert full <= 1
+
+
+def tables(spark):
+    root = scratch.scratch_root(spark).removeprefix("file://") + "/parchwork"
+    return set(os.listdir(root)) if os.path.isdir(root) else set()
+
+
+def test_the_pipeline_deletes_its_own_tables_only(spark, sf_dir):
+    held = minhash.near_duplicates(helpers.documents(spark))
+    stages = dict(corpus_pipeline.STAGES)
+    first = stages["language_id"](spark, helpers.documents(spark), "a")
+    found = stages["near_duplicates"](spark, first, "a")
+    scanned = stages["secret_scan"](spark, found, "a")  # reads tables of the stage before, which was never written
+    before = tables(spark)
+    pieces = corpus_pipeline.run(spark, sf_dir)
+    assert len(tables(spark) - before) == 1 and pieces.count() > 0  # the table that pieces reads
+    assert len(held.collect()) == len(helpers.DOCS) and scanned.count() == 5
+    mixed = stages["mix_sources"](spark, spark.createDataFrame(scanned.collect(), scanned.schema), "a")
+    assert mixed.count() > 0 and len(held.collect()) == len(helpers.DOCS)

@@ -146,9 +146,37 @@ def test_running_total(spark):
     scratch.discard(df)
 
 
-def test_scratch_is_in_the_shared_folder(spark):
-    conf = spark.sparkContext.getConf()
-    assert scratch.scratch_root(spark) == (conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or scratch.scratch_root(spark)).rstrip("/")
+class Session:
+    """What scratch_root asks of a session."""
+
+    def __init__(self, **conf):
+        self.conf, self.sparkContext = conf, self
+
+    def getConf(self):
+        return self.conf
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_scratch_is_in_the_shared_folder():
+    assert scratch.scratch_root(Session(**{"spark.checkpoint.dir": "hdfs://x/y/", "spark.master": "yarn"})) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        scratch.scratch_root(Session(**{"spark.master": "yarn"}))
+    assert scratch.scratch_root(Session(**{"spark.master": "local[2]"})).startswith("file:///")
+
+
+def test_a_scope_deletes_what_was_made_in_it(spark):
+    scope, other = scratch.Scope(), scratch.stash(spark.range(2), "other")
+    with scope.recording():
+        own = scratch.stash(spark.range(3), "own")
+    late = scratch.stash(spark.range(4), "late")
+    assert scope.is_read_by(own.where("id > 1")) and not scope.is_read_by(other) and not scope.is_read_by(spark.range(1))
+    scope.end()
+    assert other.count() == 2 and late.count() == 4
+    with pytest.raises(Exception):
+        own.count()
+    scratch.discard(other, late)
 
 
 # --- URLs ---
