@@ -7,7 +7,8 @@ columns of documents; other columns of the input are dropped at the start.
 
 from __future__ import annotations
 
-import uuid
+import functools
+from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -19,11 +20,34 @@ from parchwork.llm.scratch import stash
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Texts whose language is less sure than this are rejected.
 LEAST_SCORE = 0.3
+#: The scopes of stages that were called on their own, by sf_dir and number.
+_left: dict[tuple[str | None, int], scratch.Scope] = {}
 #: No stage before the last can be written as one SQL statement (hashing, inferred grammars, a trained model).
 ORACLE_SQL = None
 
 
-@scratch.stage
+def _stage(f: Callable) -> Callable:
+    """A stage that deletes the intermediate tables of the stage before, if that was called for the same sf_dir.
+
+    A stage's result is lazy, so its tables can go only when the next stage
+    reads the result from where it was written. If its docs read them still,
+    they stay. No other tables are deleted.
+    """
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        place = [name for name, _ in STAGES].index(f.__name__)
+        before = _left.pop((sf_dir, place - 1), None)
+        if before is not None and not before.is_read_by(docs):
+            before.end()
+        own = _left[sf_dir, place] = scratch.Scope()
+        with own.recording():
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known, with it as lang where that was null.
 
@@ -40,7 +64,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sure.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
-@scratch.stage
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the least id.
 
@@ -59,14 +83,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return stay.unionByName(docs.where("doc_id is null"))
 
 
-@scratch.stage
+@_stage
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, every secret in their texts replaced by the name of its kind; n_chars follows."""
     clean = secrets.redact(docs.select(*COLUMNS), secrets.learn(secrets.labelled_credentials()))
     return clean.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
-@scratch.stage
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to twice; where it takes part of one, its first words.
 
@@ -85,7 +109,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*COLUMNS)
 
 
-@scratch.stage
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their token ids, packed into sequences along the space-filling curve."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -101,11 +125,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; the packed pieces."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{scratch.scratch_root(spark)}/parchwork/pipeline-{uuid.uuid4().hex}"
+    """All stages over the table documents; the packed pieces, read from the one table that is left."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        done = stage(spark, docs, sf_dir)
-        done.write.parquet(f"{folder}/{name}")
-        docs = spark.read.schema(done.schema).parquet(f"{folder}/{name}")
+        own, path = scratch.Scope(), scratch.fresh(spark, f"pipeline-{name}")
+        with own.recording():
+            done = stage.__wrapped__(spark, docs, sf_dir)
+        done.write.parquet(path)
+        own.end()
+        if before is not None:
+            scratch.remove(before)
+        docs, before = spark.read.schema(done.schema).parquet(path), path
     return docs
