@@ -32,10 +32,13 @@ def intervals(entries: DataFrame) -> DataFrame:
     """key, list, since, until from entries (key, list, at, listed): since each listing until the next entry of the same key and list.
 
     Of entries at one time the unlisting wins; rows with a null key, list or
-    time say nothing; a listing of what is listed changes nothing.
+    time say nothing; a listing of what is listed changes nothing. A key's host
+    counts in any case; its path, from the first slash on, as it is written.
     """
+    path = F.regexp_extract("key", "(?s)/.*", 0)
+    key = F.concat(F.lower(F.substring_index("key", "/", 1)), path)
     known = entries.where(F.col("key").isNotNull() & F.col("list").isNotNull() & F.col("at").isNotNull())
-    states = known.groupBy("list", F.lower("key").alias("key"), "at").agg(F.min(F.coalesce("listed", F.lit(True))).alias("listed"))
+    states = known.groupBy("list", key.alias("key"), "at").agg(F.min(F.coalesce("listed", F.lit(True))).alias("listed"))
     order = Window.partitionBy("list", "key").orderBy("at")
     return (
         states.withColumn("was", F.lag("listed").over(order))
