@@ -5,11 +5,14 @@ norm lacks to the largest; queries: zero). Vectors are projected on their
 principal directions and rotated so that signs lose least (iterative
 quantisation), learned on ``sample`` rows; signs are the bits.
 
-Index. Rows are dealt into shards; in each, the code's 16-bit substrings have
-a table each, from substring to rows. Two codes within Hamming radius r have a
-substring in which they differ by at most r // tables bits (one less in all
-but the first r % tables + 1 tables), so probing all buckets that near, in
-every table, retrieves every code within r: nothing is lost to the index.
+Index. Rows are dealt into shards, each once; in a shard, the code's 16-bit
+substrings have a table each, from substring to rows sorted by it. Two codes
+within Hamming radius r have a substring in which they differ by at most
+r // tables bits (one less in all but the first r % tables + 1 tables), so
+probing all buckets that near, in every table, retrieves every code within r:
+nothing is lost to the index. Where the buckets to probe hold most rows anyway,
+the shard's codes are compared directly, which retrieves the same. Only
+queries are copied: each goes to every shard, and streams past its index.
 
 What it retrieves is cut to the radius and reranked by the inner product of
 the original vectors in double precision. The radius is the distance within
@@ -19,14 +22,14 @@ comparing those queries with all rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from parchwork.llm.cells import by_cell
 from parchwork.llm.hyperplane import _stack, usable
 from parchwork.llm.scratch import stash
 
@@ -82,30 +85,37 @@ class Index:
         self.tables = []
         for words in codes.view("<u2").T:
             order = np.argsort(words, kind="stable")
-            held, bucket, sizes = np.unique(words, return_inverse=True, return_counts=True)
-            self.tables.append((order, held, np.concatenate([[0], np.cumsum(sizes)]), bucket))
+            held, sizes = np.unique(words[order], return_counts=True)
+            self.tables.append((order, held, np.concatenate([[0], np.cumsum(sizes)])))
+
+    def probed(self, radius: int) -> list[np.ndarray] | None:
+        """The differences to probe in each table; None if they are so many that most rows would be met."""
+        count, out = len(self.tables), []
+        for k in range(count):
+            near = radius // count - (k > radius % count)
+            if near > 2:
+                return None
+            out.append(_DIFFERENCES[: 0 if near < 0 else _WITHIN[near]])
+        met = sum(len(d) for d in out) / (1 << WORD)
+        return out if met < 0.5 else None
 
     def retrieve(self, queries: np.ndarray, radius: int) -> np.ndarray:
         """queries x rows: whether the row's code is within the radius."""
-        count = len(self.tables)
+        probes = self.probed(radius)
+        if probes is None:
+            return _distance(queries, self.codes) <= radius
         found = np.zeros((len(queries), len(self.codes)), bool)
-        for k, (words, (order, held, begin, bucket)) in enumerate(zip(queries.view("<u2").T, self.tables)):
-            near = radius // count - (k > radius % count)
-            if near < 0:
+        for words, (order, held, begin), differ in zip(queries.view("<u2").T, self.tables, probes):
+            if not len(differ):
                 continue
-            probes = np.flatnonzero(np.bitwise_count(np.arange(1 << WORD, dtype=np.uint32)) <= near).astype(np.uint16) if near <= 2 else None
-            if probes is not None and len(probes) < len(held):
-                sought = words[:, None] ^ probes[None, :]
-                at = np.minimum(np.searchsorted(held, sought), len(held) - 1)
-                query, probe = np.nonzero(held[at] == sought)
-                at = at[query, probe]
-                size = begin[at + 1] - begin[at]
-                ends = np.cumsum(size)
-                rows = order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - size), size)]
-                found[np.repeat(query, size), rows] = True
-            else:  # fewer buckets hold rows than there are probes
-                hit = np.bitwise_count(words[:, None] ^ held[None, :]) <= near
-                found |= hit[:, bucket]
+            sought = words[:, None] ^ differ[None, :]
+            at = np.minimum(np.searchsorted(held, sought), len(held) - 1)
+            query, probe = np.nonzero(held[at] == sought)
+            at = at[query, probe]
+            size = begin[at + 1] - begin[at]
+            ends = np.cumsum(size)
+            rows = order[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin[at] - (ends - size), size)]
+            found[np.repeat(query, size), rows] = True
         query, row = np.nonzero(found)
         apart = np.zeros(len(query), np.int16)
         for x, y in zip(queries.view("<u8").T, self.codes.view("<u8").T):
@@ -115,10 +125,50 @@ class Index:
         return found
 
 
+#: All differences of two substrings, those of fewest bits first, and how many have up to 0, 1 and 2 bits.
+_DIFFERENCES = np.arange(1 << WORD, dtype=np.uint32)
+_DIFFERENCES = _DIFFERENCES[np.argsort(np.bitwise_count(_DIFFERENCES), kind="stable")].astype(np.uint16)
+_WITHIN = (1, 1 + WORD, 1 + WORD + WORD * (WORD - 1) // 2)
+#: Hashes by which rows are sampled are below this.
+_HASHES = 1 << 48
+
+
+def _matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
+    """A column of equally long binary values, a row for each."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+class _Shard:
+    """The index of a shard's rows and their vectors."""
+
+    def __init__(self, parts: list[pa.RecordBatch], kind: np.dtype):
+        table = pa.Table.from_batches(parts)
+        ids = table.column("id").to_numpy()
+        by = np.argsort(ids, kind="stable")
+        self.ids, self.rows = ids[by], table.column("row").to_numpy()[by]
+        self.raw = _matrix(table.column("u"), kind)[by]
+        self.index = Index(_matrix(table.column("code"), np.uint8)[by])
+
+    def nearest(self, own: np.ndarray, raw: np.ndarray, codes: np.ndarray, radius: int, k: int, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of each query its number, the places of its k nearest retrieved rows, and their inner products."""
+        found, reach = self.index.retrieve(codes, radius), radius
+        while reach < bits and (short := np.flatnonzero(found.sum(axis=1) <= k)).size:
+            reach += bits // WORD  # one more bit in every table
+            found[short] = self.index.retrieve(codes[short], reach)
+        for q, near in enumerate(found):
+            at = np.flatnonzero(near)
+            at = at[self.rows[at] != own[q]]
+            exact = (self.raw[at].astype(np.float64) * raw[q]).sum(axis=1)
+            if len(at) > 4 * k:  # what ties with the k-th stays
+                top = exact >= np.partition(exact, -k)[-k]
+                at, exact = at[top], exact[top]
+            best = np.argsort(-exact, kind="stable")[:k]
+            yield q, at[best], exact[best]
+
+
 def search(
     vectors: DataFrame, *, every: int = 20, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 128, recall: float = 0.97, sample: int = 4096, trials: int = 64,
-    shard_rows: int = 16_384, query_rows: int = 4_096, seed: int = 29,
+    bits: int = 128, recall: float = 0.97, sample: int = 4096, trials: int = 64, shard_rows: int = 65_536, seed: int = 29,
 ) -> DataFrame:
     """The k nearest of all other rows for each row whose id is divisible by ``every``.
 
@@ -128,34 +178,38 @@ def search(
     there are more.
 
     Vectors that are null, empty, zero or hold a null, NaN or infinite
-    component take no part, nor do those not of the commonest length, nor rows
-    with a null id. Repeated rows are rows of their own, queries as well as
-    candidates: only the query's own row is left out. Other columns are
-    ignored; an empty table gives an empty result.
+    component take no part, nor do rows with a null id. A query's candidates
+    are the vectors of its own length; each length has an index of its own.
+    Repeated rows are rows of their own, queries as well as candidates: only
+    the query's own row is left out. Other columns are ignored; an empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
     kind = np.dtype("<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8")
     rows = vectors.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     rows = stash(rows.where(usable("v") & F.col("id").isNotNull()).withColumn("size", F.size("v")).withColumn("norm", F.sqrt(square)), "vectors")
-    schema = "query_id long, rank int, vec_id long, score double"
-    commonest = rows.groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    if commonest is None:
-        return spark.createDataFrame([], schema)
-    size, total = commonest["size"], commonest["count"]
-    rows = rows.where(F.col("size") == size)
-    largest = rows.agg(F.max("norm")).first()[0]
     asked = (F.col("id") % every) == 0
-    asking = rows.where(asked).count()
+    out = []
+    facts = rows.groupBy("size").agg(F.count("*").alias("total"), F.count_if(asked).alias("asking"), F.max("norm").alias("largest"))
+    for fact in facts.where("asking > 0").orderBy("size").collect():  # one row for each length
+        found = _of_one_length(rows.where(F.col("size") == fact["size"]), fact, kind, every, k, bits, recall, sample, trials, shard_rows, seed)
+        out.append(found)
+    return functools.reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+
+def _of_one_length(rows: DataFrame, fact: Row, kind: np.dtype, every: int, k: int, bits: int, recall: float, sample: int, trials: int, shard_rows: int, seed: int) -> DataFrame:
+    """``search`` among rows (row, id, v) of one length."""
+    spark = rows.sparkSession
 
     def some(of: DataFrame, count: int, there: int) -> np.ndarray:
         """About ``count`` vectors by hash of their rows."""
-        picked = of if there <= count else of.where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1_000_000)) < int(1e6 * count / there))
-        return np.array([r.v for r in picked.select("v").orderBy("v").limit(2 * count).collect()], np.float64).reshape(-1, size)
+        picked = of if there <= count else of.where(F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(_HASHES)) < _HASHES * count // there)
+        return np.array([r.v for r in picked.select("v").orderBy("v").limit(2 * count).collect()], np.float64).reshape(-1, fact["size"])
 
-    coder = Coder(some(rows, sample, total), largest, bits, seed)
+    coder = Coder(some(rows, sample, fact["total"]), fact["largest"], bits, seed)
     shared = spark.sparkContext.broadcast(coder)
-    tried = spark.sparkContext.broadcast(some(rows.where(asked), trials, asking)[: 2 * trials])
+    tried = spark.sparkContext.broadcast(some(rows.where((F.col("id") % every) == 0), trials, fact["asking"])[: 2 * trials])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,18 +224,14 @@ def search(
 
     coded = stash(rows.mapInArrow(encode, "row long, id long, u binary, code binary, sought binary"), "codes")
 
-    def matrix(column: pa.ChunkedArray, dtype: np.dtype) -> np.ndarray:
-        out = np.frombuffer(b"".join(column.to_pylist()), dtype)
-        return out.reshape(len(column), -1)
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The distances of the trial queries' true neighbours among these rows."""
         best: list = [[] for _ in tried.value]
         codes = shared.value.codes(tried.value, query=True)
         for batch in batches:
             if batch.num_rows:
-                scores = tried.value @ matrix(batch.column("u"), kind).astype(np.float64).T
-                apart = _distance(codes, matrix(batch.column("code"), np.uint8).copy())
+                scores = tried.value @ _matrix(batch.column("u"), kind).astype(np.float64).T
+                apart = _distance(codes, _matrix(batch.column("code"), np.uint8).copy())
                 for q, own in enumerate(scores):
                     top = np.argpartition(-own, min(k, len(own) - 1))[: k + 1]
                     best[q] = sorted(best[q] + list(zip(own[top].tolist(), apart[q, top].tolist())), reverse=True)[: k + 1]
@@ -195,44 +245,44 @@ def search(
     seen = sorted(r.apart for r in trial.withColumn("n", F.row_number().over(near)).where(F.col("n").between(2, k + 1)).select("apart").collect())
     radius = seen[min(len(seen) - 1, int(recall * len(seen)))] if seen else bits
 
-    shards, blocks = -(-total // shard_rows), -(-max(asking, 1) // query_rows)
-    mixed = lambda salt, n: F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    held = coded.select("row", "id", "u", F.col("code"), F.lit(False).alias("asks"), mixed(seed, shards).alias("shard"), each(blocks).alias("block"))
-    asks = coded.where("sought is not null").select("row", "id", "u", F.col("sought").alias("code"), F.lit(True).alias("asks"), each(shards).alias("shard"), mixed(seed + 1, blocks).alias("block"))
-    cells = held.unionByName(asks).repartition("shard", "block").sortWithinPartitions("shard", "block")
+    # Shards of shard_rows; of fewer where that would leave cores without any.
+    shards = max(-(-fact["total"] // shard_rows), min(-(-fact["total"] // 4096), 2 * spark.sparkContext.defaultParallelism))
+    shard = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("int").alias("shard")
+    held = coded.select("row", "id", "u", "code", F.lit(False).alias("asks"), shard)
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
+    asks = coded.where("sought is not null").select("row", "id", "u", F.col("sought").alias("code"), F.lit(True).alias("asks"), every_shard)
+    dealt = held.unionByName(asks).repartition("shard").sortWithinPartitions("shard", "asks")
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, groups in by_cell(batches, ["shard", "block"]):
-            for a, b in groups:
-                part = table.slice(a, b - a)
-                asks = part.column("asks").to_numpy()
-                ids, own = part.column("id").to_numpy(), part.column("row").to_numpy()
-                raw, codes = matrix(part.column("u"), kind).astype(np.float64), matrix(part.column("code"), np.uint8).copy()
-                if not asks.any() or asks.all():
+        """A shard's rows come first and make its index; its queries follow, however many."""
+        now, rows, index = None, [], None
+        for batch in batches:
+            place = batch.column("shard").to_numpy() * 2 + batch.column("asks").to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
+            for begin, end in zip(edges, edges[1:]):
+                own, asking = divmod(int(place[begin]), 2)
+                if own != now:
+                    now, rows, index = own, [], None
+                part = batch.slice(begin, end - begin)
+                if not asking:
+                    rows.append(part)
                     continue
-                there = np.flatnonzero(~asks)
-                there = there[np.argsort(ids[there], kind="stable")]
-                index, rows = Index(codes[there]), raw[there]
-                for begin in range(0, asks.sum(), _PROBED):
-                    queries = np.flatnonzero(asks)[begin : begin + _PROBED]
-                    found, reach = index.retrieve(codes[queries], radius), radius
-                    while reach < bits and (short := np.flatnonzero(found.sum(axis=1) <= k)).size:
-                        reach += bits // WORD  # one more bit in every table
-                        found[short] = index.retrieve(codes[queries[short]], reach)
-                    out: list = []
-                    for q, near in zip(queries, found):
-                        at = np.flatnonzero(near)
-                        at = at[own[there[at]] != own[q]]
-                        exact = (rows[at] * raw[q]).sum(axis=1)
-                        if len(at) > 4 * k:  # what ties with the k-th stays
-                            top = exact >= np.partition(exact, -k)[-k]
-                            at, exact = at[top], exact[top]
-                        best = np.argsort(-exact, kind="stable")[:k]
-                        out += [(own[q], ids[q], ids[there[at[j]]], exact[j]) for j in best]
-                    if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["row", "query_id", "vec_id", "score"])
-
-    found = cells.mapInArrow(probe, "row long, query_id long, vec_id long, score double")
+                if index is None:
+                    if not rows:
+                        continue
+                    index, rows = _Shard(rows, kind), []
+                for at in range(0, part.num_rows, _PROBED):
+                    some = part.slice(at, _PROBED)
+                    asking_rows, ids = some.column("row").to_numpy(), some.column("id").to_numpy()
+                    raw, codes = _matrix(some.column("u"), kind).astype(np.float64), _matrix(some.column("code"), np.uint8).copy()
+                    columns: tuple = ([], [], [], [])
+                    for q, there, exact in index.nearest(asking_rows, raw, codes, radius, k, bits):
+                        for column, value in zip(columns, ([asking_rows[q]] * len(there), [ids[q]] * len(there), index.ids[there], exact)):
+                            column.extend(value)
+                    if columns[0]:
+                        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["row", "query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(probe, "row long, query_id long, vec_id long, score double")
     order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
