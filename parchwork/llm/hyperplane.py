@@ -1,12 +1,14 @@
 """Near-duplicate vectors by random-hyperplane sign hashing, confirmed by cosine.
 
 Every vector gets a key of ``bits`` signs in each of several tables. Bits grow
-with the logarithm of the number of vectors, so that a bucket holds few
+with the logarithm of the number of vectors, so that hardly any bucket holds
 unrelated ones; tables are as many as bring the chance that a pair at the
-threshold shares no bucket to ``miss``. Vectors of a bucket are compared in
-double precision by matrix products; a pair that shares several buckets counts
-in the first of its tables only, which its keys tell. A bucket emits no pairs:
-each vector's number of new links, and a forest that connects what is linked.
+threshold shares no bucket to ``miss``. What goes to all tables is a vector's
+number and bucket; the vector itself goes to the buckets that it shares.
+There vectors are compared in double precision by matrix products; a pair that
+shares several buckets counts in the first of its tables only, which the keys
+of linked vectors tell, made anew. A bucket emits no pairs: each vector's
+number of new links, and a forest that connects what is linked.
 
 A bucket larger than ``block`` is split by hash into blocks, and pairs of
 blocks are compared apart. Equal vectors are compared once, for all copies.
@@ -37,32 +39,29 @@ def usable(vector_col: str):
 
 
 def table_plan(count: int, threshold: float, miss: float) -> tuple[int, int]:
-    """Bits and tables for so many vectors."""
-    bits = max(8, min(30, math.ceil(math.log2(max(count, 2) / 16))))
+    """Bits and tables for so many vectors: a sixteenth of an unrelated vector to a bucket."""
+    bits = max(8, min(40, math.ceil(math.log2(max(count, 2)) + 4)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-def _keys(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
-    """vectors x tables integer keys."""
-    out = np.empty((len(vectors), tables), np.int32)
-    weights = 1 << np.arange(bits, dtype=np.int64)
-    for t in range(tables):
-        planes = np.random.default_rng([seed, t]).normal(size=(vectors.shape[1], bits))
-        out[:, t] = (vectors @ planes > 0) @ weights
-    return out
+class Signs:
+    """Keys of unit vectors in all tables; the planes of a length are made once."""
 
+    def __init__(self, bits: int, tables: int, seed: int):
+        self.bits, self.tables, self.seed = bits, tables, seed
+        self.planes: dict[int, np.ndarray] = {}
+        self.weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
-def _bits(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Keys as packed bits, a row of bytes for each."""
-    return np.packbits(((keys[:, :, None] >> np.arange(bits)) & 1).astype(bool).reshape(len(keys), -1), axis=1)
-
-
-def _unbits(packed: list[bytes], bits: int, tables: int) -> np.ndarray:
-    """The keys that were packed."""
-    flat = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), -1)
-    each = np.unpackbits(flat, axis=1, count=bits * tables).reshape(len(packed), tables, bits)
-    return each @ (1 << np.arange(bits, dtype=np.int32))
+    def keys(self, vectors: np.ndarray, tables: int | None = None) -> np.ndarray:
+        """vectors x (the first) tables integer keys."""
+        dims, tables = vectors.shape[1], tables or self.tables
+        if dims not in self.planes:
+            self.planes[dims] = np.stack([np.random.default_rng([self.seed, t]).normal(size=(dims, self.bits)) for t in range(self.tables)])
+        out = np.empty((len(vectors), tables), np.int64)
+        for t in range(tables):
+            out[:, t] = (vectors @ self.planes[dims][t] > 0) @ self.weights
+        return out
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -76,13 +75,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _new_links(a: np.ndarray, b: np.ndarray, keys_a: np.ndarray, keys_b: np.ndarray, table: int, threshold: float) -> np.ndarray:
+def _new_links(a: np.ndarray, b: np.ndarray, signs: Signs, table: int, threshold: float) -> np.ndarray:
     """Which pairs are links that share no earlier table's bucket."""
     near = a @ b.T >= threshold
     if table and near.any():
-        x, y = np.nonzero(near)
-        seen = (keys_a[x, :table] == keys_b[y, :table]).any(axis=1)
-        near[x[seen], y[seen]] = False
+        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+        keys_a, keys_b = signs.keys(a[rows], table), signs.keys(b[columns], table)
+        x, y = np.nonzero(near[np.ix_(rows, columns)])
+        for t in range(table):
+            seen = keys_a[x, t] == keys_b[y, t]
+            near[rows[x[seen]], columns[y[seen]]] = False
+            x, y = x[~seen], y[~seen]
     return near
 
 
@@ -126,7 +129,7 @@ def near_duplicate_vectors(
     # A class is all rows of one vector: n of them, the least id, and the first row.
     copies = rows.where("ok").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("class"))
     classes = stash(copies, "classes")
-    bits, tables = table_plan(classes.count(), threshold, miss)
+    signs = Signs(*table_plan(classes.count(), threshold, miss), seed)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,68 +139,64 @@ def near_duplicate_vectors(
                 for size in np.unique(sizes):
                     own = part.take(pa.array(np.flatnonzero(sizes == size)))
                     raw = _stack(own.column("v"))
-                    keys = _keys(_unit(raw), bits, tables, seed)
+                    # A bucket is a key and, in its last ten bits, a table.
+                    buckets = signs.keys(_unit(raw)) << 10 | np.arange(signs.tables)
                     yield pa.RecordBatch.from_arrays(
                         [
                             own.column("class"), own.column("n"), pa.array([size] * len(raw), pa.int32()),
-                            pa.array([x.tobytes() for x in raw.astype(packed)], pa.binary()),
-                            pa.array([x.tobytes() for x in _bits(keys, bits)], pa.binary()), pa.array(list(keys), pa.list_(pa.int32())),
+                            pa.array([x.tobytes() for x in raw.astype(packed)], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64())),
                         ],
-                        ["class", "n", "size", "u", "signs", "keys"],
+                        ["class", "n", "size", "u", "buckets"],
                     )
 
-    signed = stash(classes.mapInArrow(sign, "class long, n long, size int, u binary, signs binary, keys array<int>"), "signed")
-    placed = signed.select("size", F.posexplode("keys").alias("t", "key"))
-    counts = placed.groupBy("size", "t", "key").count().where("count > 1")
+    signed = stash(classes.mapInArrow(sign, "class long, n long, size int, u binary, buckets array<long>"), "signed")
+    placed = signed.select("class", "size", F.explode("buckets").alias("bucket"))
+    counts = placed.groupBy("size", "bucket").count().where("count > 1")
     counts = stash(counts.withColumn("blocks", F.expr(f"cast((count + {block - 1}) div {block} as int)")).drop("count"), "counts")
-    # Each class goes to the buckets that it shares, with its vector; in a split bucket, to every pair of blocks that its own is in.
+    # Each class goes to the buckets that it shares; in a split bucket, to every pair of blocks that its own is in.
     own_block = F.expr("cast(pmod(xxhash64(class), blocks) as int)")
     dealt = (
-        signed.select("class", "n", "size", "u", "signs", F.posexplode("keys").alias("t", "key"))
-        .join(counts, ["size", "t", "key"])
+        placed.join(counts, ["size", "bucket"])
         .withColumn("mine", own_block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
-    )
-    cell = ["size", "t", "key", "low", "high"]
+        .select("class", "bucket", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+        .join(signed.select("class", "n", "size", "u"), "class")
+    )
+    cell = ["size", "bucket", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, groups in by_cell(batches, cell):
-            ids, n, mine, t, low, high = (rows.column(c).to_numpy() for c in ("class", "n", "mine", "t", "low", "high"))
+            ids, n, mine, bucket, low, high, size = (rows.column(c).to_numpy() for c in ("class", "n", "mine", "bucket", "low", "high", "size"))
             out: tuple = ([], [], [])
-            size = rows.column("size").to_numpy()
-            for k in np.unique(size):
-                own = np.flatnonzero(size == k)
-                unit = np.empty((len(size), k))
-                unit[own] = _unit(np.frombuffer(b"".join(rows.column("u").take(own).to_pylist()), packed).astype(np.float64).reshape(-1, k))
-                keys = _unbits(rows.column("signs").to_pylist(), bits, tables)
-                for a, b in groups:
-                    if b - a < 2 or size[a] != k:
+            for a, b in groups:
+                if b - a < 2:
+                    continue
+                raw = np.frombuffer(b"".join(rows.column("u").slice(a, b - a).to_pylist()), packed)
+                unit, t = _unit(raw.astype(np.float64).reshape(-1, size[a])), int(bucket[a] & 1023)
+                if low[a] == high[a]:
+                    near = _new_links(unit, unit, signs, t, threshold)
+                    np.fill_diagonal(near, False)
+                    if not near.any():
+                        continue
+                    found, links = ids[a:b], near @ n[a:b]
+                    x, y = _forest(np.triu(near), found, found)
+                else:
+                    left, right = np.flatnonzero(mine[a:b] == low[a]), np.flatnonzero(mine[a:b] != low[a])
+                    near = _new_links(unit[left], unit[right], signs, t, threshold)
+                    if not near.any():
                         continue
-                    if low[a] == high[a]:
-                        near = _new_links(unit[a:b], unit[a:b], keys[a:b], keys[a:b], t[a], threshold)
-                        np.fill_diagonal(near, False)
-                        if not near.any():
-                            continue
-                        found, links = ids[a:b], near @ n[a:b]
-                        x, y = _forest(np.triu(near), found, found)
-                    else:
-                        left = np.flatnonzero(mine[a:b] == low[a]) + a
-                        right = np.flatnonzero(mine[a:b] != low[a]) + a
-                        near = _new_links(unit[left], unit[right], keys[left], keys[right], t[a], threshold)
-                        if not near.any():
-                            continue
-                        found = np.concatenate([ids[left], ids[right]])
-                        links = np.concatenate([near @ n[right], near.T @ n[left]])
-                        x, y = _forest(near, ids[left], ids[right])
-                    some = np.flatnonzero(links)
-                    out[0].extend(found[some].tolist() + x)
-                    out[1].extend(links[some].tolist() + [0] * len(x))
-                    out[2].extend([None] * len(some) + y)
+                    left, right = left + a, right + a
+                    found = np.concatenate([ids[left], ids[right]])
+                    links = np.concatenate([near @ n[right], near.T @ n[left]])
+                    x, y = _forest(near, ids[left], ids[right])
+                some = np.flatnonzero(links)
+                out[0].extend(found[some].tolist() + x)
+                out[1].extend(links[some].tolist() + [0] * len(x))
+                out[2].extend([None] * len(some) + y)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "links", "b"])
 
-    sorted_ = dealt.select("class", "n", "u", "signs", "mine", *cell).repartition(*cell).sortWithinPartitions(*cell)
+    sorted_ = dealt.select("class", "n", "u", "mine", *cell).repartition(*cell).sortWithinPartitions(*cell)
     found = stash(sorted_.mapInArrow(compare, "a long, links long, b long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
