@@ -283,6 +283,52 @@ def test_credentials_of_lengths_that_no_label_has():
         assert secrets.scan(run, FORMATS)[1] == secrets.base_spans(run), run
 
 
+def plain_learned(text):
+    """Learned spans by trying every start and end in every run."""
+    base = secrets.base_spans(text)
+    covered = {k for start, _, end, _ in base for k in range(start, end)}
+    out = []
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", text):
+        run, at = m[0], 0
+        for start in range(len(run)):
+            begins = start == 0 or not run[start - 1].isalnum() or any(run.startswith(h, start) for f in FORMATS.formats for h in f.heads if h)
+            if start < at or not begins:
+                continue
+            found = []
+            for f in FORMATS.formats:
+                ends = [e for e in range(start + 1, len(run) + 1) if e == len(run) or not run[e].isalnum()]
+                scored = [(f.score(run[start:e]), e) for e in ends]
+                good = [(s, e) for s, e in scored if s >= f.least]
+                if good:
+                    score, end = max(good, key=lambda x: x[1])
+                    if end - start >= 16 and covered.isdisjoint(range(m.start() + start, m.start() + end)):
+                        found.append((score, end, f.kind))
+            if found:
+                _, at, kind = max(found)
+                out.append((m.start() + start, m.start() + at, kind))
+    return out
+
+
+def test_learned_spans_equal_brute_force(spark, sf_dir):
+    """Over the whole table, with credentials of all formats put behind names, paths and separators in some texts."""
+    rng = random.Random(21)
+    fresh = secrets.labelled_credentials(6, seed=77)
+    rng.shuffle(fresh)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    frames = ["GH={}", "see {}.", "k: '{}'", "https://x.io/a/{}/b", "url?key={}&x=1", "({})", "x{}", "{}--", "a/{}=b", "{0} {0}"]
+    for k, (_, c) in enumerate(fresh):
+        id_, text = docs[k * 3 % len(docs)]
+        docs[k * 3 % len(docs)] = (id_, text[: len(text) // 2] + " " + frames[k % len(frames)].format(c) + " " + text[len(text) // 2 :])
+    texts, n = dict(docs), 0
+    for r in secrets.find_secrets(spark.createDataFrame(docs, "doc_id long, text string"), FORMATS).collect():
+        own = [x.split(":") for x in r.spans.split(",")] if r.spans else []
+        learned = [(int(a), int(b), k) for k, a, b in own if k not in ("assign", "access", "hex") or (int(a), int(b), k) in plain_learned(texts[r.doc_id])]
+        want = [x for x in plain_learned(texts[r.doc_id])]
+        assert sorted(learned) == sorted(want) and r.n_learned == len(want)
+        n += len(want)
+    assert n > 30
+
+
 def test_many_beginnings_in_a_long_run():
     assert secrets.scan("eyJhbGci" * 20_000, FORMATS) == ([], [])
 
