@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side.
 
 The first tier is a broadcast table of frequent pre-tokens and their lengths
-in tokens, of at most ``table_size`` entries. The second is a cache in each
+in tokens, of at most ``table_size`` entries, all that come at least a certain number of times. The second is a cache in each
 Python worker, filled by encoding pre-tokens that neither tier has. No
 pre-token is shuffled; the only exchange is the one that merges the bounded
 candidates for the first tier.
@@ -20,12 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parchwork.llm.scratch import discard, stash
 from parchwork.llm.tokens import Encoder
 from parchwork.llm.workers import shared
 
 #: Texts encoded together; keeps what a worker holds at once small.
 _GROUP = 256
 _CAPACITY = 800_000
+#: Hashes by which rows are sampled are below this.
+_HASHES = 1 << 48
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -40,11 +43,10 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
     total = docs.count()
     if not total or not path.endswith(".json"):
         return {}
-    share = min(1.0, table_docs / total)
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    if share < 1:
+    if total > table_docs:
         # With the row's number, so that copies of a text aren't all drawn together.
-        rows = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(1_000_000)) < int(share * 1_000_000))
+        rows = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(_HASHES)) < _HASHES * table_docs // total)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared((path, "count"), lambda: Encoder(path, len, _CAPACITY))
@@ -59,12 +61,17 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
                 [pa.array([k for k, _ in best], pa.string()), pa.array([v for _, v in best], pa.int64())], ["part", "n"]
             )
 
-    best = (
-        rows.mapInArrow(top, "part string, n long")
-        .groupBy("part").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "part").limit(table_size)
-        .select("part").collect()
-    )
+    counts = stash(rows.mapInArrow(top, "part string, n long").groupBy("part").agg(F.sum("n").alias("n")), "frequent")
+    # How many pre-tokens come at least so often, by powers of two, says from where on they fit into the table.
+    by_power = {r.power: r["count"] for r in counts.groupBy(F.floor(F.log2("n")).alias("power")).count().collect()}
+    least, held = 64, 0
+    for power in sorted(by_power, reverse=True):
+        held += by_power[power]
+        if held > table_size:
+            break
+        least = power
+    best = counts.where(F.col("n") >= 2.0**least).select("part").collect()
+    discard(counts)
     encoder = Encoder(path, len, _CAPACITY)
     parts = [r.part for r in best]
     return dict(zip(parts, map(len, encoder.ids(parts)))) if parts else {}

@@ -3,9 +3,10 @@
 The two public BPE files cut a text into pre-tokens and encode each by itself,
 so a text's ids are the concatenation of its pre-tokens' ids. An ``Encoder``
 remembers what a pre-token gives and asks the library only for new ones. Texts
-outside the characters for which the cutting rule below is known to agree with
-the library's, and texts that hold an added token's string, go to the library
-whole.
+of characters for which the cutting rule below is known to agree with the
+library's are cut by it; the library itself normalises and cuts other texts,
+whose pre-tokens are remembered likewise. Only texts that hold an added
+token's string go to the library whole.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ import sys
 from array import array
 from collections.abc import Callable, Iterable
 
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-#: Characters whose class is the same in every Unicode version and library.
-_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}]*+")
+# Letters and other characters whose class, and lower case, is the same in every Unicode version and library, and which no
+# neighbour composes with: Latin, Cyrillic, kana, Han, Hangul; punctuation, symbols, faces; the space that doesn't break.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ\u0100-\u012f\u0131-\u0148\u014a-\u017e\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
+_OTHERS = "\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7\u2010-\u2027\u2030-\u205e\u20ac\u2122\u3001-\u3003\u3008-\u3011\U0001f600-\U0001f64f"
+_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}{_OTHERS}]*+")
 _APOSTROPHE = "'(?:s|t|re|ve|m|ll|d)"
 _BYTE_CUT = re.compile(rf" ?[{_LETTERS}]+|{_APOSTROPHE}| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
 _WORD_CUT = re.compile(rf"[{_LETTERS}]+|{_APOSTROPHE}|[0-9]|[^\s{_LETTERS}0-9]+")
@@ -57,9 +60,13 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.cut = _cutter(path)
-        self.specials = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        added = self.tok.get_added_tokens_decoder().values()
+        self.specials = [t.content for t in added]
+        # An added token that is sought in normalised text may be hidden in a text as it stands.
+        self.cuts = not any(t.normalized for t in added) or self.tok.normalizer is None
         self.value, self.capacity, self.table = value, capacity, {}
-        self.cache: dict = {}
+        self.cache: dict = {}  # by pre-token as it stands in plain texts
+        self.pieces: dict = {}  # by pre-token as the library's own cutting writes it
 
     def seed(self, table: dict) -> None:
         """Make table the part of the cache that is never forgotten."""
@@ -77,8 +84,27 @@ class Encoder:
             and not any(s in text for s in self.specials)
         )
 
+    def cut_by_library(self, text: str) -> list[str]:
+        """The text's pre-tokens, as the model is given them."""
+        norm, pre = self.tok.normalizer, self.tok.pre_tokenizer
+        if norm is not None:
+            text = norm.normalize_str(text)
+        return [piece for piece, _ in pre.pre_tokenize_str(text)] if pre is not None else [text]
+
+    def _of_pieces(self, text: str) -> list:
+        """Values of the pre-tokens of a text that the library cuts."""
+        out, model = [], self.tok.model
+        for piece in self.cut_by_library(text):
+            value = self.pieces.get(piece)
+            if value is None:
+                value = self.value([t.id for t in model.tokenize(piece)])
+                if len(self.pieces) < self.capacity // 4:
+                    self.pieces[piece] = value
+            out.append(value)
+        return out
+
     def values(self, texts: Iterable[str]) -> list[list]:
-        """Of each text, the values of its pre-tokens in order (or one of the whole text)."""
+        """Of each text, the values of its pre-tokens in order (or one of the whole text, if it holds an added token)."""
         out: list = []
         late: list[tuple[int, list[str]]] = []
         whole: list[tuple[int, str]] = []
@@ -94,6 +120,8 @@ class Encoder:
                     missing.update(p for p, v in zip(parts, got) if v is None)
                     late.append((len(out), parts))
                 out.append(got)
+            elif self.cuts and not any(s in text for s in self.specials):
+                out.append(self._of_pieces(text))
             else:
                 whole.append((len(out), text))
                 out.append(None)
