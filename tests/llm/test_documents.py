@@ -68,6 +68,32 @@ def test_token_counts_equal_the_library(spark, path):
     assert [got[k].over_limit for k in range(len(texts))] == [n > 512 for n in want]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_any_text_is_encoded_by_pre_token(path):
+    """Plain texts by the cutting rule, others by the library's; whole only with an added token inside."""
+    encoder, tok, rng = tokens.Encoder(path, list, 10_000), library(path), random.Random(9)
+    plain = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and encoder.is_plain(c)]
+    common = "It’s “fine” – a\u00a0b… naïve Ünïcode ÆØÅ ĳ Šđ мир ВОЙНА 日本語、テスト。한국어 😀 €5 ™ × don't we'll 12 3.4\n\n \t"
+    texts = [" ".join("".join(rng.choices(plain, k=8)) for _ in range(5)) for _ in range(300)] + ["".join(rng.choices(common, k=60)) for _ in range(500)] + [common]
+    assert len(plain) > 20_000 and all(map(encoder.is_plain, texts))
+    other = ["".join(rng.choices(common + "ée\u0301ΣΑΣς½²ªºǅﬁ\x85\x1c\u2028\u3000עבריתالعربيةไทย\u0130ſK", k=50)) for _ in range(500)]
+    real, asked = encoder.ids, []
+    encoder.ids = lambda some: asked.extend(some) or real(some)
+    for some in (texts, other):
+        got = [[i for x in own for i in x] for own in encoder.values(some)]
+        want = [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert got == want
+    assert not set(asked) & set(texts + other) and max(map(len, asked)) < 40
+    assert [i for x in encoder.values(["a<|endoftext|>b"])[0] for i in x] == tok.encode("a<|endoftext|>b", add_special_tokens=False).ids
+
+
+def test_the_first_tier_is_bounded(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{j}" for j in range(300) if j % (k % 7 + 1) == 0)) for k in range(60)], "doc_id long, text string")
+    found = tokencount.frequent_lengths(docs, BYTE, "text", 40, 2_000)
+    assert 0 < len(found) <= 40 and all(len(library(BYTE).encode(p).ids) == n for p, n in found.items())
+    assert tokencount.frequent_lengths(docs, BYTE, "text", 10_000, 2_000).keys() > found.keys()
+
+
 def test_sentencepiece_counts(spark):
     import sentencepiece
 
