@@ -1,5 +1,8 @@
 """Licence families of paragraphs by a trained n-gram classifier.
 
+A paragraph is a line, or a run of neighbouring lines that all hold a word of
+the model: notices are often wrapped.
+
 Sparse logistic regression over words and pairs of words, trained on variants
 of short licence notices and on other sentences, gives every paragraph a
 probability for each family and for none. A family is predicted where its
@@ -20,6 +23,7 @@ import random
 import re
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +37,10 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This project is released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        "License: Apache-2.0",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the License.",
     ],
     "bsd": [
         "Released under the BSD 3-Clause License.",
@@ -40,6 +48,11 @@ NOTICES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "License: BSD-2-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
     ],
     "cc": [
         "Licensed under CC BY 4.0.",
@@ -55,22 +68,32 @@ NOTICES = {
         "Licensed under the GNU Lesser General Public License, version 2.1.",
         "Released under the GNU Affero General Public License.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "License: GPL v2 or later",
+        "either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
     ],
     "mit": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "License: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
     "public-domain": [
         "This is free and unencumbered software released into the public domain.",
         "To the extent possible under law, the author has waived all copyright under CC0 1.0 Universal.",
         "This work is dedicated to the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ],
     "reserved": [
         "All rights reserved.",
@@ -98,6 +121,25 @@ OTHER = [
     "Permission to land was granted late at night.",
     "Copyright law is taught in the second year.",
     "The foundation supports free concerts in the park.",
+    "The university (MIT) released version 2.0 of its report.",
+    "The general secretary published a version of the public report.",
+    "The software comes without warranty, the seller said.",
+    "Copies of the book were distributed without charge.",
+    "He asked for permission to copy the documents.",
+    "The source of the river is in the mountains.",
+    "A licence to sell alcohol is required by law in this state.",
+    "All seats are reserved for the guests of the festival.",
+    "The rights of the workers were reserved in the contract.",
+    "Version 3 of the program was slower than version 2.",
+    "The Apache people lived in the south of the country.",
+    "Mozilla and other companies presented their browsers.",
+    "The conditions of the sale and the warranty are in the contract.",
+    "You should have received a copy of the letter by now.",
+    "The law applies to all software that is sold in the union.",
+    "The public domain of the king was divided among his sons.",
+    "Contributors to the journal are paid by the page.",
+    "The distribution of the species is limited to the islands.",
+    "Neither the name nor the address of the holder was known.",
 ]
 # Words that are no feature of their own.
 STOP = (
@@ -150,8 +192,8 @@ def train(*, variants: int = 12, rounds: int = 300, rate: float = 0.5, shrink: f
 
     Every fourth variant is held out; the level is the probability that the
     share ``accept`` of held-out notices gives to its family. The first round's
-    weights are zero and the order of all sums is fixed, so that each training
-    gives the same numbers (rounded to six places).
+    weights are zero, so that each training gives the same numbers (rounded to
+    six places).
     """
     rng = random.Random(seed)
     classes = (NONE, *sorted(NOTICES))
@@ -160,30 +202,19 @@ def train(*, variants: int = 12, rounds: int = 300, rate: float = 0.5, shrink: f
     taught, held = [r for k, r in enumerate(rows) if k % 4], rows[::4]
     seen = sorted({g for found, _ in taught for g in found})
     place = {g: k for k, g in enumerate(seen)}
-    sparse = [(sorted(place[g] for g in found), c) for found, c in taught]
-    weights = [[0.0] * len(classes) for _ in seen]
-    bias = [0.0] * len(classes)
+    found_in = np.zeros((len(taught), len(seen)))
+    for k, (found, _) in enumerate(taught):
+        found_in[k, [place[g] for g in found]] = 1.0
+    is_class = np.eye(len(classes))[[c for _, c in taught]]
+    weights, bias = np.zeros((len(seen), len(classes))), np.zeros(len(classes))
     for _ in range(rounds):
-        steps: dict[int, list[float]] = {}
-        slope = [0.0] * len(classes)
-        for found, c in sparse:
-            scores = [b + sum(weights[g][k] for g in found) for k, b in enumerate(bias)]
-            top = max(scores)
-            odds = [math.exp(s - top) for s in scores]
-            whole = sum(odds)
-            wrong = [x / whole - (k == c) for k, x in enumerate(odds)]
-            for k, x in enumerate(wrong):
-                slope[k] += x
-            for g in found:
-                own = steps.setdefault(g, [0.0] * len(classes))
-                for k, x in enumerate(wrong):
-                    own[k] += x
-        for k, x in enumerate(slope):
-            bias[k] -= rate * x / len(sparse)
-        for g, own in steps.items():
-            for k, x in enumerate(own):
-                w = weights[g][k] - 20 * rate * x / len(sparse)
-                weights[g][k] = math.copysign(max(0.0, abs(w) - 20 * rate * shrink / 100), w)
+        scores = found_in @ weights + bias
+        odds = np.exp(scores - scores.max(axis=1, keepdims=True))
+        wrong = odds / odds.sum(axis=1, keepdims=True) - is_class
+        bias -= rate * wrong.mean(axis=0)
+        weights -= 20 * rate * (found_in.T @ wrong) / len(taught)
+        weights = np.copysign(np.maximum(0.0, np.abs(weights) - 20 * rate * shrink / 100), weights)
+    weights, bias = weights.tolist(), bias.tolist()
     bias[0] += max(0.0, max(bias[1:]) - bias[0] + 1.0)  # without any n-gram the answer is none
     kept = {g: tuple(round(w, 6) for w in weights[place[g]]) for g in seen}
     kept = {g: w for g, w in kept.items() if any(w)}
@@ -206,7 +237,9 @@ def templates() -> list[tuple[str, int, str]]:
 def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col: str = "text", overlap: float = 0.6) -> DataFrame:
     """One row per input row: id, n_paragraphs, n_confirmed, n_unconfirmed, n_unknown, families.
 
-    Paragraphs are lines that aren't blank. A paragraph counts as confirmed or
+    n_paragraphs counts lines that aren't blank. Lines with a word of the model
+    are scored, and runs of two or more neighbouring ones as a whole, so that a
+    wrapped notice is one paragraph. A paragraph counts as confirmed or
     unconfirmed if a family reaches the model's level, by whether ``overlap`` of
     the n-grams of one of the family's notices are in it; as unknown if none of
     the classes reaches it and the class ``none`` isn't the likeliest.
@@ -219,9 +252,13 @@ def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     words = lambda x: F.split(F.lower(x), "[^a-z0-9]+")
-    lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x) != "")
+    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), lines.alias("lines"))
-    rows = rows.select("row", "id", F.size("lines").cast("long").alias("n_paragraphs"), F.filter("lines", lambda x: F.exists(words(x), lambda w: w.isin(*model.words))).alias("told"))
+    told = F.transform("lines", lambda x: F.when(F.exists(words(x), lambda w: w.isin(*model.words)), x).otherwise(""))
+    full = F.size(F.filter("lines", lambda x: F.trim(x) != "")).cast("long").alias("n_paragraphs")
+    rows = rows.select("row", "id", full, told.alias("lines"))
+    runs = F.filter(F.split(F.array_join("lines", "\n"), "\n{2,}"), lambda x: F.contains(F.trim(x, F.lit("\n")), F.lit("\n")))
+    rows = rows.select("row", "id", "n_paragraphs", F.concat(F.filter("lines", lambda x: x != ""), runs).alias("told"))
     rows = stash(rows, "lines")
 
     clean = F.filter(words(F.col("line")), lambda w: w != "")
@@ -269,7 +306,7 @@ def scan(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col
 def sql(model: Classifier, overlap: float = 0.6) -> str:
     """What ``scan`` gives for the table documents, as DuckDB SQL."""
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    stop = ", ".join(map(text, STOP))
+    stop, known = ", ".join(map(text, STOP)), ", ".join(map(text, model.words))
     weights = ", ".join(f"({text(g)}, {', '.join(map(repr, w))})" for g, w in sorted(model.weights.items()))
     notices = ", ".join(f"({text(f)}, {n}, {text(g)})" for f, n, g in templates())
     sums = ", ".join(f"round(sum(w{k}) + {b!r}, 6) AS s{k}" for k, b in enumerate(model.bias))
@@ -277,9 +314,14 @@ def sql(model: Classifier, overlap: float = 0.6) -> str:
     likely = " ".join(f"WHEN {s} = top THEN {text(c)}" for s, c in zip(columns, model.classes))
     return f"""
 WITH d AS (
-  SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '') AS lines FROM documents
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), o AS (
+  SELECT doc_id, list_transform(lines, lambda x: CASE WHEN list_has_any(regexp_split_to_array(lower(x), '[^a-z0-9]+'), [{known}]) THEN x ELSE '' END) AS lines FROM d
+), r AS (
+  SELECT doc_id, list_concat(list_filter(lines, lambda x: x <> ''),
+    list_filter(regexp_split_to_array(array_to_string(lines, chr(10)), '\\n{{2,}}'), lambda x: contains(trim(x, chr(10)), chr(10)))) AS lines FROM o
 ), l AS (
-  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS at_, unnest(lines) AS line FROM d
+  SELECT doc_id, unnest(range(1, len(lines) + 1)) AS at_, unnest(lines) AS line FROM r
 ), w AS (
   SELECT doc_id, at_, list_filter(regexp_split_to_array(lower(line), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l
 ), p AS (
@@ -303,6 +345,6 @@ m AS (
     string_agg(DISTINCT family, ',' ORDER BY family) FILTER (p >= {model.level!r} AND coalesce(held, 0) >= {overlap}) AS families
   FROM c LEFT JOIN m USING (doc_id, at_, family) WHERE family <> '{NONE}' GROUP BY doc_id
 )
-SELECT doc_id, CAST(len(lines) AS BIGINT) AS n_paragraphs, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(n_unconfirmed, 0) AS n_unconfirmed,
+SELECT doc_id, CAST(len(list_filter(lines, lambda x: trim(x) <> '')) AS BIGINT) AS n_paragraphs, coalesce(n_confirmed, 0) AS n_confirmed, coalesce(n_unconfirmed, 0) AS n_unconfirmed,
   coalesce(n_unknown, 0) AS n_unknown, coalesce(families, '') AS families FROM d LEFT JOIN f USING (doc_id)
 """

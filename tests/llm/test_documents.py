@@ -478,6 +478,29 @@ def test_licences_of_known_notices(spark):
     assert got == {0: (2, 1, "mit"), 1: (1, 1, "reserved"), 2: (2, 1, "cc"), 3: (1, 0, ""), 4: (0, 0, ""), 5: (0, 0, "")}
 
 
+#: Notices and other sentences that no training text holds.
+UNSEEN = [
+    ("gpl", "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version."),
+    ("bsd", " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:"),
+    ("apache", "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("public-domain", "This is free and unencumbered software released\ninto the public domain."),
+]
+NOT_NOTICES = [
+    "MIT researchers released a copy of their report.", "The public was free to use the gardens.", "The general gave permission to leave.", "Sources of the software industry said so.",
+    "The Apache server was down on Monday.", "They reserved the rights to the film.", "A new version of the law was published.", "The warranty of the car had ended.",
+]
+
+
+def test_licences_of_unseen_wrapped_notices(spark):
+    texts = [f"first words here\n\n{text}\n\nlast words" for _, text in UNSEEN] + NOT_NOTICES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licences.scan(df, licences.train()).collect()}
+    assert [got[k].families.split(",") == [f] for k, (f, _) in enumerate(UNSEEN)] == [True] * len(UNSEEN)
+    assert [got[len(UNSEEN) + k].n_confirmed for k in range(len(NOT_NOTICES))] == [0] * len(NOT_NOTICES)
+
+
 def test_licence_scan_runs_no_python(spark, sf_dir):
     plan = licences.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), licences.train())._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and os.path.exists(sf_dir)
