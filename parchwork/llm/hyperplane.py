@@ -4,11 +4,12 @@ Every vector gets a key of ``bits`` signs in each of several tables. Bits grow
 with the logarithm of the number of vectors, so that hardly any bucket holds
 unrelated ones; tables are as many as bring the chance that a pair at the
 threshold shares no bucket to ``miss``. What goes to all tables is a vector's
-number and bucket; the vector itself goes to the buckets that it shares.
-There vectors are compared in double precision by matrix products; a pair that
-shares several buckets counts in the first of its tables only, which the keys
-of linked vectors tell, made anew. A bucket emits no pairs: each vector's
-number of new links, and a forest that connects what is linked.
+number and bucket; the vector itself, with its keys as bytes, goes to the
+buckets that it shares. There vectors are compared in double precision by
+matrix products; a pair that shares several buckets counts in the first of its
+tables only, which the keys of linked vectors tell, for many buckets at once.
+No pairs are emitted: each vector's number of new links, and a forest that
+connects what is linked.
 
 A bucket larger than ``block`` is split by hash into blocks, and pairs of
 blocks are compared apart. Equal vectors are compared once, for all copies.
@@ -45,23 +46,18 @@ def table_plan(count: int, threshold: float, miss: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(miss) / math.log(1 - same))
 
 
-class Signs:
-    """Keys of unit vectors in all tables; the planes of a length are made once."""
+def _keys(vectors: np.ndarray, bits: int, tables: int, seed: int) -> np.ndarray:
+    """vectors x tables integer keys."""
+    out, weights = np.empty((len(vectors), tables), np.int64), np.int64(1) << np.arange(bits, dtype=np.int64)
+    for t in range(tables):
+        planes = np.random.default_rng([seed, t]).normal(size=(vectors.shape[1], bits))
+        out[:, t] = (vectors @ planes > 0) @ weights
+    return out
 
-    def __init__(self, bits: int, tables: int, seed: int):
-        self.bits, self.tables, self.seed = bits, tables, seed
-        self.planes: dict[int, np.ndarray] = {}
-        self.weights = np.int64(1) << np.arange(bits, dtype=np.int64)
 
-    def keys(self, vectors: np.ndarray, tables: int | None = None) -> np.ndarray:
-        """vectors x (the first) tables integer keys."""
-        dims, tables = vectors.shape[1], tables or self.tables
-        if dims not in self.planes:
-            self.planes[dims] = np.stack([np.random.default_rng([self.seed, t]).normal(size=(dims, self.bits)) for t in range(self.tables)])
-        out = np.empty((len(vectors), tables), np.int64)
-        for t in range(tables):
-            out[:, t] = (vectors @ self.planes[dims][t] > 0) @ self.weights
-        return out
+def _as_bytes(keys: np.ndarray, bits: int) -> np.ndarray:
+    """Keys as bytes, a row for each vector; all tables' keys have as many bytes as the bits need."""
+    return keys.astype("<i8").view(np.uint8).reshape(*keys.shape, 8)[:, :, : -(-bits // 8)].reshape(len(keys), -1)
 
 
 def _stack(column: pa.Array) -> np.ndarray:
@@ -75,37 +71,53 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _new_links(a: np.ndarray, b: np.ndarray, signs: Signs, table: int, threshold: float) -> np.ndarray:
-    """Which pairs are links that share no earlier table's bucket."""
-    near = a @ b.T >= threshold
-    if table and near.any():
-        rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-        keys_a, keys_b = signs.keys(a[rows], table), signs.keys(b[columns], table)
-        x, y = np.nonzero(near[np.ix_(rows, columns)])
-        for t in range(table):
-            seen = keys_a[x, t] == keys_b[y, t]
-            near[rows[x[seen]], columns[y[seen]]] = False
-            x, y = x[~seen], y[~seen]
-    return near
-
-
-def _forest(near: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[list, list]:
-    """Edges that connect what the links connect, at most one for each vector but the first."""
-    x, y = np.nonzero(near)
-    if not len(x):
-        return [], []
-    first, a = np.unique(np.concatenate([ids_a[x], ids_b[y]]), return_inverse=True)
-    a, b = a[: len(x)], a[len(x) :]
-    labels = np.arange(len(first))
-    while True:
-        before = labels.copy()
-        np.minimum.at(labels, a, labels[b])
-        np.minimum.at(labels, b, labels[a])
-        labels = labels[labels]
-        if (labels == before).all():
-            break
-    out = np.flatnonzero(labels != np.arange(len(first)))
-    return first[labels[out]].tolist(), first[out].tolist()
+class _Links:
+    """Pairs of rows that are links, gathered from many buckets, as numbers and a forest."""
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, signs: np.ndarray):
+        self.ids, self.n, self.signs = ids, n, signs  # of rows; signs are rows x tables x bytes
+        self.pairs: list[tuple[np.ndarray, np.ndarray, int]] = []
+        self.held = 0
+
+    def add(self, x: np.ndarray, y: np.ndarray, table: int) -> None:
+        self.pairs.append((x, y, table))
+        self.held += len(x)
+
+    def _new(self) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that share no earlier table's bucket."""
+        x, y = (np.concatenate([p[k] for p in self.pairs]) for k in (0, 1))
+        table = np.repeat([p[2] for p in self.pairs], [len(p[0]) for p in self.pairs])
+        new, earlier = np.empty(len(x), bool), np.arange(self.signs.shape[1])[None, :]
+        for at in range(0, len(x), 8192):
+            own = slice(at, at + 8192)
+            same = (self.signs[x[own]] == self.signs[y[own]]).all(axis=2)
+            new[own] = ~(same & (earlier < table[own, None])).any(axis=1)
+        return x[new], y[new]
+
+    def flush(self) -> pa.RecordBatch | None:
+        """a, links and null: each linked row's number of new links; a, 0 and b: edges that connect them."""
+        if not self.held:
+            return None
+        x, y = self._new()
+        self.pairs, self.held = [], 0
+        if not len(x):
+            return None
+        ids, at = np.unique(self.ids[np.concatenate([x, y])], return_inverse=True)
+        a, b = at[: len(x)], at[len(x) :]
+        links = np.zeros(len(ids), np.int64)
+        np.add.at(links, a, self.n[y])
+        np.add.at(links, b, self.n[x])
+        labels = np.arange(len(ids))
+        while True:
+            before = labels.copy()
+            np.minimum.at(labels, a, labels[b])
+            np.minimum.at(labels, b, labels[a])
+            labels = labels[labels]
+            if (labels == before).all():
+                break
+        out = np.flatnonzero(labels != np.arange(len(ids)))
+        columns = ([*ids.tolist(), *ids[labels[out]].tolist()], [*links.tolist(), *[0] * len(out)], [*[None] * len(ids), *ids[out].tolist()])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "links", "b"])
 
 
 def near_duplicate_vectors(
@@ -129,7 +141,8 @@ def near_duplicate_vectors(
     # A class is all rows of one vector: n of them, the least id, and the first row.
     copies = rows.where("ok").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min("row").alias("class"))
     classes = stash(copies, "classes")
-    signs = Signs(*table_plan(classes.count(), threshold, miss), seed)
+    bits, tables = table_plan(classes.count(), threshold, miss)
+    width = -(-bits // 8)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,17 +152,19 @@ def near_duplicate_vectors(
                 for size in np.unique(sizes):
                     own = part.take(pa.array(np.flatnonzero(sizes == size)))
                     raw = _stack(own.column("v"))
+                    keys = _keys(_unit(raw), bits, tables, seed)
                     # A bucket is a key and, in its last ten bits, a table.
-                    buckets = signs.keys(_unit(raw)) << 10 | np.arange(signs.tables)
+                    buckets = keys << 10 | np.arange(tables)
                     yield pa.RecordBatch.from_arrays(
                         [
                             own.column("class"), own.column("n"), pa.array([size] * len(raw), pa.int32()),
-                            pa.array([x.tobytes() for x in raw.astype(packed)], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64())),
+                            pa.array([x.tobytes() for x in raw.astype(packed)], pa.binary()),
+                            pa.array([x.tobytes() for x in _as_bytes(keys, bits)], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64())),
                         ],
-                        ["class", "n", "size", "u", "buckets"],
+                        ["class", "n", "size", "u", "signs", "buckets"],
                     )
 
-    signed = stash(classes.mapInArrow(sign, "class long, n long, size int, u binary, buckets array<long>"), "signed")
+    signed = stash(classes.mapInArrow(sign, "class long, n long, size int, u binary, signs binary, buckets array<long>"), "signed")
     placed = signed.select("class", "size", F.explode("buckets").alias("bucket"))
     counts = placed.groupBy("size", "bucket").count().where("count > 1")
     counts = stash(counts.withColumn("blocks", F.expr(f"cast((count + {block - 1}) div {block} as int)")).drop("count"), "counts")
@@ -160,43 +175,37 @@ def near_duplicate_vectors(
         .withColumn("mine", own_block)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("class", "bucket", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-        .join(signed.select("class", "n", "size", "u"), "class")
-    )
+        .join(signed.select("class", "n", "size", "u", "signs"), "class")
+    )
     cell = ["size", "bucket", "low", "high"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, groups in by_cell(batches, cell):
             ids, n, mine, bucket, low, high, size = (rows.column(c).to_numpy() for c in ("class", "n", "mine", "bucket", "low", "high", "size"))
-            out: tuple = ([], [], [])
+            signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(len(ids), tables, width)
+            links, unit, begins = _Links(ids, n, signs), None, 0
             for a, b in groups:
+                if unit is None or unit.shape[1] != size[a]:  # rows come sorted by size
+                    begins, ends = np.searchsorted(size, [size[a], size[a] + 1])
+                    raw = np.frombuffer(b"".join(rows.column("u").slice(begins, ends - begins).to_pylist()), packed)
+                    unit = _unit(raw.astype(np.float64).reshape(-1, size[a]))
                 if b - a < 2:
                     continue
-                raw = np.frombuffer(b"".join(rows.column("u").slice(a, b - a).to_pylist()), packed)
-                unit, t = _unit(raw.astype(np.float64).reshape(-1, size[a])), int(bucket[a] & 1023)
+                own = unit[a - begins : b - begins]
                 if low[a] == high[a]:
-                    near = _new_links(unit, unit, signs, t, threshold)
-                    np.fill_diagonal(near, False)
-                    if not near.any():
-                        continue
-                    found, links = ids[a:b], near @ n[a:b]
-                    x, y = _forest(np.triu(near), found, found)
+                    x, y = np.nonzero(np.triu(own @ own.T >= threshold, 1))
                 else:
                     left, right = np.flatnonzero(mine[a:b] == low[a]), np.flatnonzero(mine[a:b] != low[a])
-                    near = _new_links(unit[left], unit[right], signs, t, threshold)
-                    if not near.any():
-                        continue
-                    left, right = left + a, right + a
-                    found = np.concatenate([ids[left], ids[right]])
-                    links = np.concatenate([near @ n[right], near.T @ n[left]])
-                    x, y = _forest(near, ids[left], ids[right])
-                some = np.flatnonzero(links)
-                out[0].extend(found[some].tolist() + x)
-                out[1].extend(links[some].tolist() + [0] * len(x))
-                out[2].extend([None] * len(some) + y)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "links", "b"])
-
-    sorted_ = dealt.select("class", "n", "u", "mine", *cell).repartition(*cell).sortWithinPartitions(*cell)
+                    x, y = np.nonzero(own[left] @ own[right].T >= threshold)
+                    x, y = left[x], right[y]
+                if len(x):
+                    links.add(x + a, y + a, int(bucket[a] & 1023))
+                    if links.held > 100_000 and (found := links.flush()) is not None:
+                        yield found
+            if (found := links.flush()) is not None:
+                yield found
+
+    sorted_ = dealt.select("class", "n", "u", "signs", "mine", *cell).repartition(*cell).sortWithinPartitions(*cell)
     found = stash(sorted_.mapInArrow(compare, "a long, links long, b long"), "found")
     links = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
