@@ -144,7 +144,8 @@ OTHER = [
 # Words that are no feature of their own.
 STOP = (
     "a all and any are as at by for in into is it may not of on or that the this to under use with you be we he she was "
-    "work file source person conditions met following extent author unless except can 0 1 2 3 4"
+    "work file source person conditions met following extent author unless except can 0 1 2 3 4 "
+    "an among but do either even from given has have his if its more must near neither new non nor now one other second see seen should so than their two via were will your"
 ).split()
 _SPLIT = re.compile("[^a-z0-9]+")
 
