@@ -53,8 +53,8 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
         seen: Counter = Counter()
         for _, texts in _texts(batches, "text"):
             for text in texts:
-                if text and encoder.is_plain(text):
-                    seen.update(encoder.cut(text))
+                if text and (cut := encoder.rule(text)) is not None:
+                    seen.update(cut(text))
         best = seen.most_common(table_size)
         if best:
             yield pa.RecordBatch.from_arrays(

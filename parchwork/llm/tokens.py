@@ -22,27 +22,31 @@ from collections.abc import Callable, Iterable
 # neighbour composes with: Latin, Cyrillic, kana, Han, Hangul; punctuation, symbols, faces; the space that doesn't break.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ\u0100-\u012f\u0131-\u0148\u014a-\u017e\u0410-\u044f\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3"
 _OTHERS = "\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf\xd7\xf7\u2010-\u2027\u2030-\u205e\u20ac\u2122\u3001-\u3003\u3008-\u3011\U0001f600-\U0001f64f"
-_PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}{_OTHERS}]*+")
+_LATIN_1 = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Plain texts; those of Latin-1 letters and ASCII, which most are, are cut by quicker rules.
+_PLAIN, _NARROW = re.compile(rf"[\t\n\r\x20-\x7e{_LETTERS}{_OTHERS}]*+"), re.compile(rf"[\t\n\r\x20-\x7e{_LATIN_1}]*+")
 _APOSTROPHE = "'(?:s|t|re|ve|m|ll|d)"
-_BYTE_CUT = re.compile(rf" ?[{_LETTERS}]+|{_APOSTROPHE}| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_WORD_CUT = re.compile(rf"[{_LETTERS}]+|{_APOSTROPHE}|[0-9]|[^\s{_LETTERS}0-9]+")
+_BYTE_CUT, _BYTE_CUT_NARROW = (
+    re.compile(rf" ?[{x}]+|{_APOSTROPHE}| ?[0-9]+| ?[^\s{x}0-9]+|\s+(?!\S)|\s+").findall for x in (_LETTERS, _LATIN_1)
+)
+_WORD_CUT, _WORD_CUT_NARROW = (re.compile(rf"[{x}]+|{_APOSTROPHE}|[0-9]|[^\s{x}0-9]+").findall for x in (_LETTERS, _LATIN_1))
 # The pre-tokenizer patterns the two rules above stand for.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def _cutter(path: str) -> Callable[[str], list[str]] | None:
-    """How the file cuts plain texts; None if its rule isn't one of the two."""
+def _cutters(path: str) -> tuple[Callable, Callable] | None:
+    """How the file cuts plain texts, and those of Latin-1 letters and ASCII; None if its rule isn't one of the two."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
     if spec["model"].get("type") != "BPE" or spec["model"].get("ignore_merges"):
         return None
     if norm is None and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space"):
-        return _BYTE_CUT.findall
+        return _BYTE_CUT, _BYTE_CUT_NARROW
     steps = pre.get("pretokenizers") or [{}]
     lowers = norm and [x.get("type") for x in norm.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
     if lowers and steps[0].get("pattern", {}).get("Regex") == _WORD_PATTERN and steps[0].get("invert"):
-        return lambda text: _WORD_CUT.findall(text.lower())
+        return (lambda text: _WORD_CUT(text.lower())), (lambda text: _WORD_CUT_NARROW(text.lower()))
     return None
 
 
@@ -59,7 +63,7 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cut = _cutter(path)
+        self.cutters = _cutters(path)
         added = self.tok.get_added_tokens_decoder().values()
         self.specials = [t.content for t in added]
         # An added token that is sought in normalised text may be hidden in a text as it stands.
@@ -77,12 +81,16 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def rule(self, text: str) -> Callable[[str], list[str]] | None:
+        """How to cut a plain text; None for other texts."""
+        if self.cutters is None or any(s in text for s in self.specials):
+            return None
+        if _NARROW.fullmatch(text) is not None:
+            return self.cutters[1]
+        return self.cutters[0] if _PLAIN.fullmatch(text) is not None else None
+
     def is_plain(self, text: str) -> bool:
-        return (
-            self.cut is not None
-            and _PLAIN.fullmatch(text) is not None
-            and not any(s in text for s in self.specials)
-        )
+        return self.rule(text) is not None
 
     def cut_by_library(self, text: str) -> list[str]:
         """The text's pre-tokens, as the model is given them."""
@@ -113,8 +121,8 @@ class Encoder:
         for text in texts:
             if not text:
                 out.append([])
-            elif self.is_plain(text):
-                parts = self.cut(text)
+            elif (cut := self.rule(text)) is not None:
+                parts = cut(text)
                 got = list(map(get, parts))
                 if None in got:
                     missing.update(p for p, v in zip(parts, got) if v is None)
