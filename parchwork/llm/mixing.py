@@ -12,6 +12,8 @@ source, however large, meets in one task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,29 +26,29 @@ _CELLS = 4096
 _WORDS = r"[^\x20\x09-\x0D]++"
 
 
-def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
     """source, rank, source_size, target for a table with source and size.
 
-    Sources by code point, null last, get the weights in turn; targets share
-    ``share`` of all words by weight, none above ``most`` times its source's.
+    Sources by code point, null last, get the weights, which are above 0, in
+    turn; targets share ``share`` of all words by weight, none above ``most``
+    times its source's.
     """
     totals = stash(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
     ranked = running_total(totals.withColumn("one", F.lit(1).cast("long")), [F.col("source").asc_nulls_last()], "one", "rank")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    ranked = stash(ranked.select("source", "rank", "source_size", weight.cast("double").alias("weight")), "ranked")
-    wanted = share * (ranked.agg(F.sum("source_size")).first()[0] or 0)
-    # Targets are min(most * size, level * weight); the level rises as sources reach their limit, until none is above.
-    level, limit = 0.0, most * F.col("source_size")
-    while True:
-        free = limit > level * F.col("weight")
-        held, weights_left = ranked.agg(
-            F.sum(F.when(~free, limit).otherwise(0.0)), F.sum(F.when(free, F.col("weight")).otherwise(0.0))
-        ).first()
-        risen = (wanted - (held or 0.0)) / weights_left if weights_left else level
-        if not weights_left or risen <= level:
-            break
-        level = risen
-    return ranked.select("source", "rank", "source_size", F.least(limit, F.lit(level) * F.col("weight")).alias("target"))
+    ranked = ranked.select("source", "rank", "source_size", weight.cast("long").alias("weight"), (most * F.col("source_size")).alias("limit"))
+    ranked = stash(ranked, "ranked")
+    size, weighed = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    wanted = share * (size or 0)
+    # Targets are min(limit, level * weight). A source is full once the level is limit / weight; by then those that fill
+    # earlier hold their limits and all others that level times their weights.
+    rise = F.col("limit") / F.col("weight")
+    order = [rise, F.col("rank")]
+    filling = running_total(running_total(ranked, order, "limit", "held"), order, "weight", "lighter")
+    full = F.col("held") + rise * (F.lit(weighed) - F.col("lighter")) <= F.lit(wanted)
+    held, free = filling.agg(F.sum(F.when(full, F.col("limit"))), F.sum(F.when(~full, F.col("weight")))).first()
+    level = (wanted - (held or 0)) / free if free else math.inf
+    return ranked.select("source", "rank", "source_size", F.least(F.col("limit").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
 
 
 def schedule(sources: DataFrame, block: int) -> DataFrame:
@@ -76,22 +78,14 @@ def schedule(sources: DataFrame, block: int) -> DataFrame:
     return used.unionByName(late).select("slot", "rank", "n")
 
 
-def mix(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 1024, seed: int = 11, keep: tuple[str, ...] = (),
+def _placed(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str,
+    weights: tuple[int, ...], share: float, most: int, block: int, seed: int, keep: tuple[str, ...],
 ) -> DataFrame:
-    """What a mix takes of each document.
+    """For each row and each block that it lies in (one row without a block where it has no words): the ``parts`` of it that the slots of that block take.
 
-    One row per input row: id, the columns ``keep``, size (words), source_size,
-    target (of its source) and taken (words, repeats counted). A source's taken
-    words sum to its target, rounded; no document gives more than ``most``
-    times its size. Reruns on the same rows agree.
-
-    A null text has no words and gives none; a null source is a source of its
-    own, the last; null and repeated ids are rows of their own (ties in the
-    shuffled order go by id, then size); other columns are ignored; an empty
-    table gives an empty result. A long document spans as many blocks as it
-    needs.
+    A part says its slot, which use of the source's stream that is, where in
+    the block the part begins, and its words in the document.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     sizes = stash(
@@ -101,7 +95,7 @@ def mix(
         ),
         "sizes",
     )
-    goals = targets(sizes, weights, share, float(most))
+    goals = targets(sizes, weights, share, most)
     blocks = F.expr(f"(source_size + {block - 1}) div {block}")
     quota = F.least(F.round("target"), most * F.col("source_size")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.expr("quota div source_size")).otherwise(0)
@@ -119,20 +113,66 @@ def mix(
     # The largest n-th use of a block that is cut short is the last one of a source with a rest.
     slots = schedule(goals, block)
     uses = slots.join(goals.select("rank", "blocks", "full", "rest"), "rank").select(
-        "rank", (F.col("n") % F.col("blocks")).alias("block"),
+        "rank", (F.col("n") % F.col("blocks")).alias("block"), "slot", "n",
         F.when(F.col("n") < F.col("full") * F.col("blocks"), block)
         .otherwise(F.least(F.lit(block), F.col("rest") - (F.col("n") - F.col("full") * F.col("blocks")) * block)).alias("cut"),
     )
-    # How often a block is used up to each cut: at most ``most`` entries.
-    uses = uses.groupBy("rank", "block").agg(F.collect_list("cut").alias("cuts"))
+    # The uses of a block and where each is cut: at most ``most`` entries.
+    uses = uses.groupBy("rank", "block").agg(F.collect_list(F.struct("slot", "n", "cut")).alias("uses"))
 
     known = placed.join(goals.select("source", "rank", "source_size", "target", "begin"), placed["source"].eqNullSafe(goals["source"]))
     known = known.select("row", "id", *(f"keep_{c}" for c in keep), "size", "source_size", "target", "rank", (F.col("place") - F.col("begin")).alias("at"))
     whole = F.when(F.col("size") > 0, F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")))
     pieces = known.select("*", F.explode_outer(whole).alias("block"))
-    low = F.greatest(F.col("at") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("at") + F.col("size") - F.col("block") * block, F.lit(block))
-    part = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, cut: s + F.greatest(F.least(high, cut) - low, F.lit(0)))
-    taken = pieces.join(uses, ["rank", "block"], "left").withColumn("part", F.coalesce(part, F.lit(0)))
-    whole_rows = taken.groupBy("row").agg(*(F.first(c).alias(c) for c in ["id", *(f"keep_{c}" for c in keep), "size", "source_size", "target"]), F.sum("part").alias("taken"))
-    return whole_rows.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "size", "source_size", "target", "taken")
+    first = F.col("block") * block - F.col("at")  # the document's word where the block begins
+    low, high = F.greatest(-first, F.lit(0)), F.least(F.col("size") - first, F.lit(block))
+    part = lambda use: F.struct(
+        use.slot.alias("slot"), use.n.alias("n"), low.alias("offset"), (first + low).alias("start"), (F.least(high, use.cut) - low).alias("length")
+    )
+    taken = pieces.join(uses, ["rank", "block"], "left")
+    return taken.withColumn("parts", F.filter(F.transform("uses", part), lambda p: p.length > 0)).drop("uses")
+
+
+def mixture(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 1024, seed: int = 11, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """The mix itself: one row for each stretch of a document in a scheduled block.
+
+    id, the columns ``keep``, slot, n (which block of its source's repeated
+    stream the slot takes), offset (the stretch's place in the block), start
+    and length (its words in the document), and rank (its source's place among
+    the sources). Sorted by slot, rank, n and offset, the stretches follow one
+    another as the mix has them: every prefix holds the sources in about their
+    shares. Rows of which nothing is taken, such as
+    those without words, have none; the rest is as for ``mix``.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, most, block, seed, keep)
+    parts = placed.select("id", *(f"keep_{c}" for c in keep), "rank", F.explode("parts").alias("part"))
+    return parts.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "rank", "part.*")
+
+
+def mix(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: int = 2, block: int = 1024, seed: int = 11, keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """What a mix takes of each document: the lengths of its stretches in ``mixture``, summed.
+
+    One row per input row: id, the columns ``keep``, size (words), source_size,
+    target (of its source), taken (words, repeats counted) and first_slot (the
+    earliest slot of the schedule that takes some of it; null if none). A
+    source's taken words sum to its target, rounded; no document gives more
+    than ``most`` times its size. Reruns on the same rows agree.
+
+    A null text has no words and gives none; a null source is a source of its
+    own, the last; null and repeated ids are rows of their own (ties in the
+    shuffled order go by id, then size); other columns are ignored; an empty
+    table gives an empty result. A long document spans as many blocks as it
+    needs.
+    """
+    placed = _placed(docs, id_col, text_col, source_col, weights, share, most, block, seed, keep)
+    part = F.aggregate("parts", F.lit(0).cast("long"), lambda total, p: total + p.length)
+    placed = placed.withColumn("part", F.coalesce(part, F.lit(0))).withColumn("slot", F.array_min(F.transform("parts", lambda p: p.slot)))
+    kept = ["id", *(f"keep_{c}" for c in keep), "size", "source_size", "target"]
+    rows = placed.groupBy("row").agg(*(F.first(c).alias(c) for c in kept), F.sum("part").alias("taken"), F.min("slot").alias("first_slot"))
+    return rows.select(F.col("id").alias(id_col), *(F.col(f"keep_{c}").alias(c) for c in keep), "size", "source_size", "target", "taken", "first_slot")

@@ -403,6 +403,46 @@ def test_mixing_reaches_its_targets(spark, block):
     assert len(got) == len(docs) and all(abs(taken[s] - want[s]) <= 0.5 for s in sizes)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.4, 1.5, 2.0, 3.0])
+def test_targets_of_many_sources_equal_the_plain_ones(spark, share):
+    rng = random.Random(int(share * 10))
+    sizes = {f"s{k:02}": rng.choice([0, 1, 5, 10, 40, 1000, 30_000]) for k in range(40)} | {None: 7}
+    rows = [(s, n // 2) for s, n in sizes.items()] + [(s, n - n // 2) for s, n in sizes.items()]
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(rows, "source string, size long"), (5, 2, 1), share, 2).collect()}
+    want = plain_targets(sizes, share=share)
+    assert {s: r.source_size for s, r in got.items()} == sizes
+    assert {s: r.target for s, r in got.items()} == pytest.approx(want)
+
+
+@pytest.mark.parametrize("block", [3, 64])
+def test_mixture_is_what_mix_takes_in_the_order_of_the_schedule(spark, block):
+    rng = random.Random(5)
+    docs = [(k, " ".join(["w"] * rng.choice([0, 1, 5, 50, 300])), rng.choices(["a", "b", None], [9, 3, 1])[0]) for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    digest = {r.doc_id: r for r in mixing.mix(df, block=block).collect()}
+    parts = sorted(mixing.mixture(df, block=block).collect(), key=lambda r: (r.slot, r["rank"], r.n, r.offset))
+    covered: dict = {}
+    ends: dict = {}
+    for r in parts:
+        assert r.offset == ends.get((r.slot, r["rank"], r.n), 0) and r.offset + r.length <= block  # no gaps in a block
+        ends[r.slot, r["rank"], r.n] = r.offset + r.length
+        covered.setdefault(r.doc_id, []).extend(range(r.start, r.start + r.length))
+    for k, r in digest.items():
+        assert len(covered.get(k, [])) == r.taken and set(covered.get(k, [])) <= set(range(r.size))
+        assert all(covered[k].count(w) <= 2 for w in set(covered.get(k, [])))
+        assert r.first_slot == min((p.slot for p in parts if p.doc_id == k), default=None)
+    # Every prefix of the mix holds the sources in about their shares.
+    total = sum(r.length for r in parts)
+    shares = {}
+    for r in parts:
+        shares[r["rank"]] = shares.get(r["rank"], 0) + r.length / total
+    so_far, n = dict.fromkeys(shares, 0), 0
+    for r in parts:
+        so_far[r["rank"]] += r.length
+        n += r.length
+        assert all(abs(so_far[k] - n * shares[k]) <= 6 * block for k in shares)
+
+
 def test_schedule_spreads_sources_evenly(spark):
     sources = spark.createDataFrame([(0, 50), (1, 30), (2, 20), (3, 0)], "rank long, need long")
     got = sorted((r.slot, r.rank, r.n) for r in mixing.schedule(sources, 1).collect())
