@@ -104,7 +104,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1).alias("held_out")
     )
     model = langid.train(docs.where(~F.col("held_out")))
-    return langid.identify(docs, model, keep=["held_out"])
+    named = langid.identify(docs, model, keep=["held_out"])
+    return named.withColumn("spans", F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x.start, x.end, x.lang)), ","))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_near_duplicates, op3_secret_scan, op4_mixing, op5_url_filters, op6_nearest_vectors, op7_licence_scan, op8_token_counts, op9_near_duplicate_vectors, op10_language_id)}

@@ -147,24 +147,44 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _places(text: str) -> list[tuple[int, int]]:
+    """Where in the text the words of ``_words`` are: start and end, in code points."""
+    low = text.lower()
+    # Lower-casing makes some letters two characters, so positions may have to be led back.
+    back = None if len(low) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()]
+    out = []
+    for m in _WORD.finditer(low):
+        if m[0].isalpha():
+            out.append(m.span())
+            continue
+        letters = "".join(c if c.isalpha() else " " for c in m[0])
+        out += [(m.start() + w.start(), m.start() + w.end()) for w in re.finditer(r"\S+", letters)]
+    return out if back is None else [(back[start], back[end - 1] + 1) for start, end in out]
+
+
+def _ends(text: str) -> tuple[int, int]:
+    """Where the text's first letter is, and behind its last one."""
+    start = next(k for k, c in enumerate(text) if c.isalpha())
+    return start, next(k for k in range(len(text), 0, -1) if text[k - 1].isalpha())
+
+
+def _stretches(text: str, path: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, end, language) of the runs of one language on the path over the text's words."""
+    turns = np.flatnonzero(np.diff(path)) + 1
+    if not len(turns):
+        return [(*_ends(text), int(path[0]))]
+    places = _places(text)
+    firsts = [0, *turns.tolist()]
+    return [(places[a][0], places[b - 1][1], int(path[a])) for a, b in zip(firsts, [*firsts[1:], len(path)])]
+
+
 def spans(model: Model, text: str | None) -> list[tuple[int, int, str]]:
     """Stretches of one language as (start, end, language), in code points from first to last letter."""
-    found = [m for m in _WORD.finditer(text or "") if m[0].isalpha()]
-    if not found:
-        return []
-    at = model.index([m[0].lower() for m in found])
-    path = viterbi(model.table[at], model.penalty)
-    out: list[tuple[int, int, str]] = []
-    for m, k in zip(found, path):
-        if out and out[-1][2] == model.langs[k]:
-            out[-1] = (out[-1][0], m.end(), out[-1][2])
-        else:
-            out.append((m.start(), m.end(), model.langs[k]))
-    return out
+    return labelled(model, [text])[0][2]
 
 
-def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
-    """Of each text, the language with most letters on the path and how sure that is, from 0 to 1.
+def labelled(model: Model, texts: list[str | None]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
+    """Of each text, the language with most letters on the path, how sure that is, from 0 to 1, and the spans of the path.
 
     The score is that language's share of the letters times its mean
     probability, against the other languages, over the words that it holds.
@@ -173,9 +193,9 @@ def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     every = model.index([w for words in found for w in words]) if any(found) else None
     sizes = np.fromiter((len(w) for words in found for w in words), np.int64) if any(found) else None
     out, at = [], 0
-    for words in found:
+    for text, words in zip(texts, found):
         if not words:
-            out.append((UNKNOWN, 0.0))
+            out.append((UNKNOWN, 0.0, []))
             continue
         scores, letters = model.table[every[at : at + len(words)]], sizes[at : at + len(words)]
         at += len(words)
@@ -185,10 +205,16 @@ def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
         held = path == lang
         total = scores[held].sum(axis=0)
         odds = np.exp(np.clip((total - total[lang]) / math.sqrt(held.sum()), -60, 60))
-        out.append((model.langs[lang], float(by[lang] / by.sum() / odds.sum())))
+        parts = [(start, end, model.langs[k]) for start, end, k in _stretches(text, path)]
+        out.append((model.langs[lang], float(by[lang] / by.sum() / odds.sum()), parts))
     return out
 
 
+def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
+    """Language and score of each text; see ``labelled``."""
+    return [(lang, score) for lang, score, _ in labelled(model, texts)]
+
+
 def shares(counts: dict[str, int], train_docs: int, least: int) -> dict[str, float]:
     """Of languages with more rows than the sample takes of one, the share that it takes; of all others it takes every row.
 
@@ -208,7 +234,7 @@ def shares(counts: dict[str, int], train_docs: int, least: int) -> dict[str, flo
 
 def train(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
-    train_docs: int = 20_000, penalty: float = 12.0, least: int = 20,
+    train_docs: int = 20_000, penalty: float = 12.0, least: int = 20, most_langs: int = 256,
 ) -> Model:
     """A model of the rows with text and language; with more than ``train_docs`` of them, about that many by hash of their texts and numbers.
 
@@ -216,14 +242,18 @@ def train(
     others about as many as each other and ``least`` or more, so that the
     sample has at most about ``train_docs`` rows and ``least`` a language.
     Rows without text or language teach nothing. Without any usable row the
-    model knows no language and labels everything ``und``.
+    model knows no language and labels everything ``und``. More than
+    ``most_langs`` languages, which would make the model too large to send to
+    all workers, are an error.
     """
     rows = docs.select(
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"),
         # With the row's number, so that copies of a text aren't all learned from.
         F.pmod(F.xxhash64(text_col, F.monotonically_increasing_id()), F.lit(_HASHES)).alias("h"),
     ).where(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(most_langs + 1).collect()}
+    if len(counts) > most_langs:
+        raise ValueError(f"labels name more than {most_langs} languages; map them to fewer, or raise most_langs")
     if taken := shares(counts, train_docs, least):
         limits = F.create_map(*(F.lit(x) for lang, share in taken.items() for x in (lang, int(share * _HASHES))))
         rows = rows.where(F.col("h") < F.coalesce(limits[F.col("lang")], F.lit(_HASHES)))
@@ -231,8 +261,9 @@ def train(
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         known: dict[str, list[int]] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+        parts = (batch.slice(at, _GROUP) for batch in batches for at in range(0, batch.num_rows, _GROUP))
+        for part in parts:
+            for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
                 if lang not in counts:
                     counts[lang] = np.zeros(FEATURES + len(_SCRIPTS) + 1, np.int64)
                 at: list[int] = []
@@ -251,7 +282,7 @@ def train(
                 ["lang", "cell", "n"],
             )
 
-    # At most languages x cells rows reach the driver.
+    # At most ``most_langs`` x cells rows reach the driver.
     found = rows.select("text", "lang").mapInArrow(gather, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     table = np.zeros((len(langs), FEATURES + len(_SCRIPTS) + 1))
@@ -264,26 +295,33 @@ def train(
 
 
 def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] = ()) -> DataFrame:
-    """One row per input row: id, the columns ``keep`` (but those called as the next two), lang_pred and score.
-
-    ``und`` with score 0 where the text is null or has no letter. Null and
-    repeated ids are kept; other columns are ignored; an empty table gives an
-    empty result; texts of any length are read whole.
+    """One row per input row: id, the columns ``keep`` (but those called as the next three), lang_pred, score and spans.
+
+    Spans are the stretches of one language, from first to last letter, as
+    start, end (exclusive, both in code points) and lang, in order; a text of
+    one language has one. ``und`` with score 0 and no spans where the text is
+    null or has no letter. Null and repeated ids are kept; other columns are
+    ignored; an empty table gives an empty result; texts of any length are
+    read whole.
     """
     sent, key = docs.sparkSession.sparkContext.broadcast(model), ("language", uuid.uuid4().hex)
-    kept = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score")]
+    kept = [c for c in dict.fromkeys([id_col, *keep]) if c not in ("lang_pred", "score", "spans")]
+    stretch = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared(key, lambda: replace(sent.value, _ids={}))
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)
-                got = labels(own, part.column("_text_").to_pylist())
+                got = labelled(own, part.column("_text_").to_pylist())
                 own.forget()
+                langs, scores, found = zip(*got)
+                found = [[dict(zip(("start", "end", "lang"), x)) for x in parts] for parts in found]
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(c) for c in kept), pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.float64())],
-                    [*kept, "lang_pred", "score"],
+                    [*(part.column(c) for c in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(found, pa.list_(stretch))],
+                    [*kept, "lang_pred", "score", "spans"],
                 )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*kept, F.col(text_col).alias("_text_")).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    made = "lang_pred string, score double, spans array<struct<start: bigint, end: bigint, lang: string>>"
+    return docs.select(*kept, F.col(text_col).alias("_text_")).mapInArrow(run, f"{kinds}, {made}")

@@ -477,6 +477,24 @@ def test_language_of_awkward_rows_and_spans(spark):
     assert [s[2] for s in langid.spans(model, text)] == ["en", "fr"] and langid.spans(model, None) == []
 
 
+def test_places_are_those_of_the_words():
+    for text in ["a b", "", "x²y Ⅷ ½z", "ΑΣ και 3d_e", "été\u0301s 日本 語", "1 2"]:
+        places, words = langid._places(text), langid._words(text)
+        assert [text[start:end].lower() for start, end in places] == words
+        if words:
+            assert langid._ends(text) == (places[0][0], places[-1][1])
+    # Lower-casing makes two characters of this letter, the second of which is no letter.
+    assert langid._words("bİstanbul İ") == ["bi", "stanbul", "i"]
+    assert langid._places("bİstanbul İ") == [(0, 2), (2, 9), (10, 11)]
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(f"text {k}", f"l{k}") for k in range(6)], "text string, lang string")
+    assert len(langid.train(docs, most_langs=6).langs) == 6
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        langid.train(docs, most_langs=5)
+
+
 def test_scripts_narrow_languages(spark):
     docs = spark.createDataFrame([("мир и война", "ru"), ("hello world and peace", "en"), ("ειρήνη και πόλεμος", "el")], "text string, lang string")
     model = langid.train(docs)

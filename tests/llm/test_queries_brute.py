@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from parchwork.llm import catalogue
+from parchwork.llm import catalogue, langid
 from tests.llm.test_documents import brute_components, library, plain_spans, plain_targets
 from tests.llm.test_vectors_and_urls import brute_links
 
@@ -108,3 +108,31 @@ def test_language_id(spark, sf_dir, documents):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and 0 <= r.score <= 1
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == documents[r.doc_id].lang for r in held) >= 0.95 * len(held)
+
+
+def test_language_id(spark, sf_dir, documents):
+    """Spans give the best path of the plain recursion over every text, and the labels follow from them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    learned = docs.where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
+    model = langid.train(learned)
+    got = results(spark, sf_dir, catalogue.op10_language_id)
+    assert len(got) == len(documents)
+    for r in got:
+        text = documents[r.doc_id].text
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        places, words = langid._places(text or ""), langid._words(text or "")
+        if not words:
+            assert (r.lang_pred, r.score, r.spans) == ("und", 0.0, "")
+            continue
+        spans = [(int(a), int(b), c) for a, b, c in (x.split(":") for x in r.spans.split(","))]
+        path = [next(model.langs.index(c) for a, b, c in spans if a <= start and end <= b) for start, end in places]
+        at = model.index(words)
+        scores = model.table[at]
+        best = scores[0].copy()
+        for row in scores[1:]:
+            best = np.maximum(best, best.max() - model.penalty) + row
+        value = sum(scores[k, j] for k, j in enumerate(path)) - model.penalty * (np.diff(path) != 0).sum()
+        assert value == pytest.approx(best.max(), abs=1e-6)
+        letters = np.bincount(path, weights=list(map(len, words)), minlength=len(model.langs))
+        assert letters[model.langs.index(r.lang_pred)] == letters.max() and 0 <= r.score <= 1
+        model.forget()
