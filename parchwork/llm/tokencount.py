@@ -1,13 +1,14 @@
 """Token counts by a two-tier lookup on the map side.
 
 The first tier is a broadcast table of frequent pre-tokens and their lengths
-in tokens, of at most ``table_size`` entries, all that come at least a certain number of times. The second is a cache in each
-Python worker, filled by encoding pre-tokens that neither tier has. No
-pre-token is shuffled; the only exchange is the one that merges the bounded
-candidates for the first tier.
-
-The tiers decide how fast a count is found, never what it is: which rows the
-first tier is drawn from (``table_docs`` of them, by hash) changes no result.
+in tokens, of at most ``table_size`` entries, all that come at least a certain
+number of times. All texts are counted for it, each task keeping a bounded
+summary of its own. The second is a cache in each Python worker, filled by
+encoding pre-tokens that neither tier has. No pre-token of a text is shuffled;
+the only exchange is the one that merges the tasks' summaries.
+
+The tiers decide how fast a count is found, never what it is, so a summary may
+forget what is rare in its task.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from parchwork.llm.workers import shared
 #: Texts encoded together; keeps what a worker holds at once small.
 _GROUP = 256
 _CAPACITY = 800_000
-#: Hashes by which rows are sampled are below this.
-_HASHES = 1 << 48
+#: A task's summary forgets its rarer half when it has so many times the entries of the first tier.
+_SUMMARY = 16
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -38,15 +39,12 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
             yield part, part.column(column).to_pylist()
 
 
-def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int, table_docs: int) -> dict[str, int]:
-    """Token lengths of pre-tokens that are frequent in about ``table_docs`` hashed rows."""
-    total = docs.count()
-    if not total or not path.endswith(".json"):
+def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int) -> dict[str, int]:
+    """Token lengths of the pre-tokens that are frequent in all rows."""
+    if not path.endswith(".json"):
         return {}
     rows = docs.select(F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    if total > table_docs:
-        # With the row's number, so that copies of a text aren't all drawn together.
-        rows = rows.where(F.pmod(F.xxhash64("text", F.monotonically_increasing_id()), F.lit(_HASHES)) < _HASHES * table_docs // total)
+    most = _SUMMARY * table_size
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared((path, "count"), lambda: Encoder(path, len, _CAPACITY))
@@ -55,6 +53,8 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
             for text in texts:
                 if text and (cut := encoder.rule(text)) is not None:
                     seen.update(cut(text))
+                    if len(seen) > most:
+                        seen = Counter(dict(seen.most_common(most // 2)))
         best = seen.most_common(table_size)
         if best:
             yield pa.RecordBatch.from_arrays(
@@ -79,7 +79,7 @@ def frequent_lengths(docs: DataFrame, path: str, text_col: str, table_size: int,
 
 def token_counts(
     docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text",
-    limit: int = 512, table_size: int = 20_000, table_docs: int = 2_000,
+    limit: int = 512, table_size: int = 20_000,
 ) -> DataFrame:
     """Bytes and tokens of every text under the tokenizer file at the path ``tokenizer``.
 
@@ -93,7 +93,7 @@ def token_counts(
     table gives an empty result. Texts of any length are encoded whole.
     """
     spark = docs.sparkSession
-    lengths = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer, text_col, table_size, table_docs))
+    lengths = spark.sparkContext.broadcast(frequent_lengths(docs, tokenizer, text_col, table_size))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
