@@ -33,6 +33,10 @@ UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _GROUP = 256
 _CAPACITY = 300_000
+#: Texts are labelled together as long as their words x languages are no more; a longer text by itself.
+_TOGETHER = 1 << 20
+#: What rounding may add to sums that decide for many texts at once; closer cases are decided text by text.
+_SLACK = 1e-3
 #: A script counts as one a language writes in from this share of its letters.
 _SCRIPT_SHARE = 0.01
 #: Hashes by which rows are sampled are below this.
@@ -64,7 +68,11 @@ def script(letter: str) -> str:
 def cells(word: str) -> list[int]:
     """The hashed cells of a lower-cased word's trigrams, its ends marked."""
     padded = f"^{word}$"
-    return [zlib.crc32(padded[k : k + 3].encode("utf-8", "surrogatepass")) % FEATURES for k in range(len(padded) - 2)]
+    return [_cell(padded[k : k + 3]) for k in range(len(padded) - 2)]
+
+
+def _cell(trigram: str) -> int:
+    return zlib.crc32(trigram.encode("utf-8", "surrogatepass")) % FEATURES
 
 
 @dataclass
@@ -76,16 +84,33 @@ class Model:
     scripts: list[set[str]]
     penalty: float
     _ids: dict[str, int] = field(default_factory=dict)
+    _cells: dict[int, int] = field(default_factory=dict)  # by trigram, as a number
     table: np.ndarray = field(default=None)
+    sizes: np.ndarray = field(default=None)
 
     def __post_init__(self):
-        self.table = np.empty((0, len(self.langs)))
+        self.table, self.sizes = np.empty((0, len(self.langs))), np.empty(0, np.int64)
+
+    def _found(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """What ``cells`` gives for each word, one after another, and where each word's begin."""
+        letters = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+        inside = np.ones(len(letters), bool)
+        inside[ends - 1] = inside[ends - 2] = False
+        at = np.flatnonzero(inside)
+        keys, place = np.unique(letters[at] << 42 | letters[at + 1] << 21 | letters[at + 2], return_inverse=True)
+        got = list(map(self._cells.get, keys.tolist()))
+        for k in [k for k, c in enumerate(got) if c is None]:
+            key = int(keys[k])
+            trigram = "".join(chr(key >> bits & 0x1FFFFF) for bits in (42, 21, 0))
+            got[k] = self._cells[key] = _cell(trigram)
+        starts = np.concatenate([[0], ends[:-1]]) - 2 * np.arange(len(words))
+        return np.array(got, np.int64)[place], starts
 
     def _score(self, words: list[str]) -> np.ndarray:
         """words x languages: summed log-probabilities of each word's trigrams below its best language's; far below where the script rules a language out."""
-        at = list(map(cells, words))
-        starts = np.concatenate([[0], np.cumsum(list(map(len, at)))[:-1]])
-        sums = np.add.reduceat(self.logp[:, [c for x in at for c in x]], starts, axis=1).T
+        at, starts = self._found(words)
+        sums = np.add.reduceat(self.logp[:, at], starts, axis=1).T
         written = [script(w[0]) for w in words]
         allowed = {name: np.array([name in s for s in self.scripts]) for name in set(written)}
         for name, may in allowed.items():
@@ -96,21 +121,24 @@ class Model:
 
     def index(self, words: list[str]) -> np.ndarray:
         """Rows of ``table`` for the words, which are scored if they are new."""
-        got = list(map(self._ids.get, words))
-        if None in got:
-            fresh = list({w for w, k in zip(words, got) if k is None})
-            scores = self._score(fresh)
+        fresh = list(set(words).difference(self._ids))
+        if fresh:
             n = len(self._ids)
             if n + len(fresh) > len(self.table):
-                self.table = np.concatenate([self.table[:n], np.empty((n + 2 * len(fresh) + 4096, len(self.langs)))])
-            self.table[n : n + len(fresh)] = scores
+                more = 2 * len(fresh) + 4096
+                self.table = np.concatenate([self.table[:n], np.empty((n + more, len(self.langs)))])
+                self.sizes = np.concatenate([self.sizes[:n], np.empty(n + more, np.int64)])
+            self.table[n : n + len(fresh)] = self._score(fresh)
+            self.sizes[n : n + len(fresh)] = list(map(len, fresh))
             self._ids.update(zip(fresh, range(n, n + len(fresh))))
-            got = list(map(self._ids.__getitem__, words))
-        return np.array(got, dtype=np.int64)
+        return np.fromiter(map(self._ids.__getitem__, words), np.int64, len(words))
 
     def forget(self) -> None:
         if len(self._ids) > _CAPACITY:
-            self._ids, self.table = {}, np.empty((0, len(self.langs)))
+            self._ids = {}
+            self.__post_init__()
+        if len(self._cells) > _CAPACITY:
+            self._cells = {}
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
@@ -127,8 +155,10 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
         return np.full(n, best)
     rest = np.delete(scores, best, axis=1) - scores[:, best : best + 1]
     sums = np.concatenate([np.zeros((1, k - 1)), np.cumsum(rest, axis=0)])
-    if (sums - np.minimum.accumulate(sums, axis=0)).max() <= penalty / 2:
-        # A path of p > 1 parts that never comes here pays p - 1 switches, which is at least half of one for each part.
+    rise = (sums - np.minimum.accumulate(sums, axis=0)).max()
+    # Parts between stays in the best language pay a switch each, at least. A path of p > 1 parts that never comes there pays
+    # p - 1 switches, which is at least half of one for each part; at most it gains what the best of the others gain by word.
+    if rise <= penalty / 2 or (rise < penalty and rest.max(axis=1).sum() < penalty):
         return np.full(n, best)
     back = np.empty((n, k), dtype=np.int16)
     rows, at = scores.tolist(), list(scores[0])
@@ -147,6 +177,30 @@ def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _stay(scores: np.ndarray, starts: np.ndarray, counts: np.ndarray, best: np.ndarray, penalty: float) -> np.ndarray:
+    """For texts whose words' scores follow one another: whether ``viterbi`` surely stays in the language ``best``.
+
+    The same conditions as there, on all texts at once: before each text
+    the running sums fall by more than any text's rise, so that their least
+    value so far is one of the same text.
+    """
+    words, own = np.arange(len(scores)), np.repeat(best, counts)
+    rest = scores - scores[words, own][:, None]
+    gain = np.add.reduceat(rest.max(axis=1), starts)
+    drop = 1 + np.add.reduceat(np.abs(rest), starts, axis=0).max()
+    if drop * len(counts) > 1e9:
+        return gain < penalty - _SLACK
+    begins = starts + np.arange(len(starts))
+    steps = np.empty((len(scores) + len(starts), scores.shape[1]))
+    steps[begins] = -drop
+    steps[words + np.repeat(np.arange(1, len(starts) + 1), counts)] = rest
+    sums = np.cumsum(steps, axis=0)
+    rise = np.maximum.reduceat((sums - np.minimum.accumulate(sums, axis=0)).max(axis=1), begins)
+    rest[words, own] = -np.inf
+    others = np.add.reduceat(rest.max(axis=1), starts)
+    return (gain < penalty - _SLACK) | (rise < penalty / 2 - _SLACK) | ((rise < penalty - _SLACK) & (others < penalty - _SLACK))
+
+
 def _places(text: str) -> list[tuple[int, int]]:
     """Where in the text the words of ``_words`` are: start and end, in code points."""
     low = text.lower()
@@ -190,26 +244,53 @@ def labelled(model: Model, texts: list[str | None]) -> list[tuple[str, float, li
     probability, against the other languages, over the words that it holds.
     """
     found = [_words(t) if t and model.langs else [] for t in texts]
-    every = model.index([w for words in found for w in words]) if any(found) else None
-    sizes = np.fromiter((len(w) for words in found for w in words), np.int64) if any(found) else None
-    out, at = [], 0
-    for text, words in zip(texts, found):
+    out: list = [(UNKNOWN, 0.0, [])] * len(texts)
+    together: list[int] = []
+    held = 0
+    for k, words in enumerate(found):
         if not words:
-            out.append((UNKNOWN, 0.0, []))
             continue
-        scores, letters = model.table[every[at : at + len(words)]], sizes[at : at + len(words)]
-        at += len(words)
-        path = viterbi(scores, model.penalty)
-        by = np.bincount(path, weights=letters, minlength=len(model.langs))
-        lang = int(by.argmax())
-        held = path == lang
-        total = scores[held].sum(axis=0)
-        odds = np.exp(np.clip((total - total[lang]) / math.sqrt(held.sum()), -60, 60))
-        parts = [(start, end, model.langs[k]) for start, end, k in _stretches(text, path)]
-        out.append((model.langs[lang], float(by[lang] / by.sum() / odds.sum()), parts))
+        if together and (held + len(words)) * len(model.langs) > _TOGETHER:
+            _label(model, texts, found, together, out)
+            together, held = [], 0
+        together.append(k)
+        held += len(words)
+    if together:
+        _label(model, texts, found, together, out)
     return out
 
 
+def _label(model: Model, texts: list[str | None], found: list[list[str]], own: list[int], out: list) -> None:
+    """Set out for the texts whose numbers are in ``own``, each of which has words."""
+    every = model.index([w for k in own for w in found[k]])
+    counts = np.array([len(found[k]) for k in own])
+    starts = np.cumsum(counts) - counts
+    scores = model.table[every]
+    totals = np.add.reduceat(scores, starts, axis=0)
+    best = totals.argmax(axis=1)
+    odds = np.exp(np.clip((totals - totals[np.arange(len(own)), best][:, None]) / np.sqrt(counts)[:, None], -60, 60))
+    sure = (1 / odds.sum(axis=1)).tolist()
+    for n, stays in enumerate(_stay(scores, starts, counts, best, model.penalty).tolist()):
+        k, at = own[n], slice(starts[n], starts[n] + counts[n])
+        if stays:
+            lang = model.langs[best[n]]
+            out[k] = lang, sure[n], [(*_ends(texts[k]), lang)]
+        else:
+            out[k] = _mixed(model, texts[k], scores[at], model.sizes[every[at]])
+
+
+def _mixed(model: Model, text: str, scores: np.ndarray, letters: np.ndarray) -> tuple[str, float, list[tuple[int, int, str]]]:
+    """What ``labelled`` gives for a text whose words' scores and letters these are."""
+    path = viterbi(scores, model.penalty)
+    by = np.bincount(path, weights=letters, minlength=len(model.langs))
+    lang = int(by.argmax())
+    held = path == lang
+    total = scores[held].sum(axis=0)
+    odds = np.exp(np.clip((total - total[lang]) / math.sqrt(held.sum()), -60, 60))
+    parts = [(start, end, model.langs[k]) for start, end, k in _stretches(text, path)]
+    return model.langs[lang], float(by[lang] / by.sum() / odds.sum()), parts
+
+
 def labels(model: Model, texts: list[str | None]) -> list[tuple[str, float]]:
     """Language and score of each text; see ``labelled``."""
     return [(lang, score) for lang, score, _ in labelled(model, texts)]
@@ -309,7 +390,7 @@ def identify(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     stretch = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared(key, lambda: replace(sent.value, _ids={}))
+        own = shared(key, lambda: replace(sent.value, _ids={}, _cells={}))
         for batch in batches:
             for at in range(0, batch.num_rows, _GROUP):
                 part = batch.slice(at, _GROUP)

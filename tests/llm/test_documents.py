@@ -468,6 +468,37 @@ def test_viterbi_shortcut_equals_the_recursion():
         assert value == pytest.approx(best.max())
 
 
+def test_texts_together_stay_where_each_would_by_itself():
+    rng, decided = np.random.default_rng(7), 0
+    for _ in range(200):
+        k, penalty = rng.integers(1, 5), rng.choice([1.0, 3.0])
+        texts = [rng.normal(size=(rng.integers(1, 15), k)) * rng.choice([0.3, 1, 3]) for _ in range(rng.integers(1, 9))]
+        counts = np.array(list(map(len, texts)))
+        best = np.array([t.sum(axis=0).argmax() for t in texts])
+        stays = langid._stay(np.concatenate(texts), np.cumsum(counts) - counts, counts, best, penalty)
+        for scores, lang, stay in zip(texts, best, stays):
+            if stay:
+                decided += 1
+                assert (langid.viterbi(scores, penalty) == lang).all()
+                top = scores[0].copy()
+                for row in scores[1:]:
+                    top = np.maximum(top, top.max() - penalty) + row
+                assert scores[:, lang].sum() == pytest.approx(top.max())
+    assert decided > 100
+
+
+def test_labels_are_the_same_in_any_company(spark, monkeypatch):
+    """Together, one by one, or with words scored by the plain trigrams."""
+    model = langid.train(helpers.documents(spark), penalty=3.0)
+    texts = [r[1] for r in helpers.DOCS] + ["the cat sat on the mat. " * 30 + "le chat est sur la table " * 30, "naïve 日本 мир ﬁ", "x", None, ""]
+    together = langid.labelled(model, texts)
+    monkeypatch.setattr(langid, "_TOGETHER", 0)
+    assert langid.labelled(model, texts) == together == [x for t in texts for x in langid.labelled(model, [t])]
+    words = sorted({w for t in texts if t for w in langid._words(t)})
+    at, starts = model._found(words)
+    assert [x.tolist() for x in np.split(at, starts[1:])] == list(map(langid.cells, words))
+
+
 def test_language_of_awkward_rows_and_spans(spark):
     docs = helpers.documents(spark)
     model = langid.train(docs, penalty=3.0)
