@@ -67,16 +67,15 @@ def largest_first(rows: DataFrame, size: str, path: str) -> DataFrame:
 def open_log(rows: DataFrame) -> DataFrame:
     """path and line of the opening log for rows with path, seconds and error, in the order of paths."""
     width = rows.agg(F.coalesce(F.max(F.length("path")), F.lit(0)).alias("width"))
-    lines = rows.crossJoin(F.broadcast(width))  # one row
-    return lines.select("path", formats.open_line(F.col("path"), F.col("width"), F.col("seconds"), F.col("error")).alias("line")).orderBy("path")
+    return rows.select("path", formats.open_line(F.col("path"), width.scalar(), F.col("seconds"), F.col("error")).alias("line")).orderBy("path")
 
 
 def timing_report(rows: DataFrame, least_width: int = 24) -> DataFrame:
     """part (0 successes, 1 failures), path and line of the timing report: successes by path, then failures by path."""
     width = rows.agg(F.greatest(F.coalesce(F.max(F.length("path")), F.lit(0)), F.lit(least_width)).alias("width"))
-    line = formats.timing_line(F.col("path"), F.col("width"), F.col("seconds"), F.col("error"))
+    line = formats.timing_line(F.col("path"), width.scalar(), F.col("seconds"), F.col("error"))
     part = F.col("error").isNotNull().cast("int").alias("part")
-    return rows.crossJoin(F.broadcast(width)).select(part, "path", line.alias("line")).orderBy("part", "path")
+    return rows.select(part, "path", line.alias("line")).orderBy("part", "path")
 
 
 def compare_runs(metrics: DataFrame, runs: list[str]) -> DataFrame:
